@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamcontract.llm.common import Words, keep, mix, prepare, runs, table, utf8
+from streamcontract.llm.common import Words, fresh, keep, mix, prepare, runs, table, utf8
 
 BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-PASSES = 3
+PASSES = 2
 _U = np.uint64
 
 #: Each bin's order of donor bins.
@@ -160,13 +160,13 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of an edge reaches. Minimum labels and pointer jumping."""
-    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    both = fresh(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = fresh(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("to"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = keep(new.join(jump, "to").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
+        new = fresh(new.join(jump, "to").select("node", F.col("far").alias("label"), (F.col("far") != F.col("old")).alias("moved")))
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
             return labels
@@ -190,41 +190,35 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, passe
     if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.distinct()  # repeated rows of an id would meet each other
     sets = keep(sets)
-    links = keep(same_id)
+    links = fresh(same_id)
     labels = components(links)
-    tested = None
-    turn = 0
+    buckets, tested, turn = fresh(buckets), None, 0
+    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes that can reach the similarity
     while True:
         own = labels.select(F.col("node").alias("rep"), F.col("label"))
         now = buckets.join(own, "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("comp"))
-        open_ones = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "size", "comp")).alias("centre")).where("lo <> hi")
-        buckets = keep(now.join(open_ones.select("bucket", "centre"), "bucket"))
+        unsettled = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "size", "comp")).alias("centre")).where("lo <> hi")
+        buckets = fresh(now.join(unsettled.select("bucket", "centre"), "bucket"))
         if not buckets.limit(1).count():
             break
-        close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)  # noqa: E731  sizes that can reach the similarity
         if turn < passes:
             e = buckets.where((F.col("comp") != F.col("centre.comp")) & close(F.col("size"), F.col("centre.size"))).select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
-            if tested is not None:
-                e = e.join(tested, ["a", "b"], "left_anti")
-            edges = e.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            e = e if tested is None else e.join(tested, ["a", "b"], "left_anti")
+            edges = fresh(e.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
             buckets = buckets.select("bucket", "rep", "size")
         else:
-            # centres: the least by hash in each of m parts of a bucket
-            m = 1 << min(turn - passes, 20)
-            part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(m))
-            centres = keep(buckets.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rep", "size", "comp")).alias("c")).select("bucket", "c"))
+            # centres: the least in each of m parts of a bucket, dealt by hash
+            part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(4 << min(turn - passes, 20)))
+            centres = fresh(buckets.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rep", "size", "comp")).alias("c")).select("bucket", "c"))
             e = buckets.select("bucket", "rep", "size", "comp").join(centres, "bucket").where((F.col("comp") != F.col("c.comp")) & close(F.col("size"), F.col("c.size"))).select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
-            edges = e if tested is None else e.join(tested, ["a", "b"], "left_anti")
-            buckets = buckets.select("bucket", "rep", "size").join(centres.select("bucket", F.col("c.rep").alias("rep")), ["bucket", "rep"], "left_anti")
-        edges = keep(edges)
-        if turn < passes and not edges.limit(1).count():
-            turn = passes
-            continue
-        links = keep(links.union(confirm(edges, sets, percent)))
-        tested = edges if tested is None else tested.union(edges)
-        buckets = keep(buckets)
-        labels = components(links)
+            edges = fresh(e if tested is None else e.join(tested, ["a", "b"], "left_anti"))
+            buckets = fresh(buckets.select("bucket", "rep", "size").join(centres.select("bucket", F.col("c.rep").alias("rep")), ["bucket", "rep"], "left_anti"))
         turn += 1
+        new = fresh(confirm(edges, sets, percent))
+        tested = edges if tested is None else tested.union(edges)
+        if new.limit(1).count():
+            links = links.union(new)
+            labels = components(links)
     # every class of a component, then every row of a class
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     out = rows.select("doc_id", *key).join(by_class, key, "left")
