@@ -56,7 +56,8 @@ def render_column(segments: Column) -> Column:
 def parse_column(pointer: Column) -> Column:
     """Array of segments; null for texts that are no pointer."""
     text = F.regexp_replace(pointer, "^#", "")
-    parts = F.transform(F.slice(F.split(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), "/"), 2, 2**31 - 1), lambda s: F.replace(F.replace(s, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+    whole = F.split(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), "/")
+    parts = F.transform(F.slice(whole, F.lit(2), F.size(whole)), lambda s: F.replace(F.replace(s, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
     return F.when(text == "", F.array().cast("array<string>")).when(text.startswith("/"), parts)
 
 

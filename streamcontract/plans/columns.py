@@ -206,7 +206,7 @@ class Compiler:
         elif "items" in s:
             rest = s["items"]
         if rest is not None and rest is not True:
-            tail = F.slice(x.items, first + 1, 2**31 - 1) if first else x.items
+            tail = F.slice(x.items, F.lit(first + 1), F.greatest(n - first, F.lit(0))) if first else x.items
             out.append(F.forall(tail, lambda e: go(rest, _Value(e))))
         if "contains" in s:
             hits = F.size(F.filter(x.items, lambda e: go(s["contains"], _Value(e))))
@@ -237,8 +237,12 @@ class Compiler:
             except ecma.RegexError:
                 continue
         entries = F.map_entries(x.members)
+
+        def matching(p: str, sub: object) -> Callable[[Column], Column]:
+            return lambda e: ~e["key"].rlike(p) | go(sub, _Value(e["value"]))
+
         for p, sub in patterns:
-            out.append(F.forall(entries, lambda e, p=p, sub=sub: ~e["key"].rlike(p) | go(sub, _Value(e["value"]))))
+            out.append(F.forall(entries, matching(p, sub)))
         extra = s.get("additionalProperties")
         if extra is not None and extra is not True:
 
