@@ -524,3 +524,126 @@ def operations(spark: SparkSession, sf: str) -> DataFrame:
     return openapi.operations_table(prepare(spark), openapi.parse(doc)).select("path", "method", "operation_id", F.size("parameters").cast("long").alias("n_parameters"))
 
 
+
+
+# ---------------------------------------------------------------- relational forms
+
+_reg("flt_1_projection", "SELECT subject, version FROM v", lambda s, v: v.select("subject", "version"))
+_reg("flt_2_equality", "SELECT subject, version FROM v WHERE subject = 'Brand#2' AND version = 3", lambda s, v: v.where((F.col("subject") == "Brand#2") & (F.col("version") == 3)).select("subject", "version"))
+_reg("flt_3_boolean", "SELECT subject, version FROM v WHERE NOT deleted AND (version < 3 OR subject = 'Brand#1')", lambda s, v: v.where(~F.col("deleted") & ((F.col("version") < 3) | (F.col("subject") == "Brand#1"))).select("subject", "version"))
+_reg("flt_4_casts", "SELECT CAST(id AS VARCHAR) AS id, CAST(id AS INTEGER) AS small, id > 0 AS positive FROM schemas", lambda s, v: s.select(F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("small"), (F.col("id") > 0).alias("positive")))
+_reg("joi_1_inner", "SELECT subject, version, schema FROM v JOIN schemas ON schema_id = id", lambda s, v: R.with_schemas(v, s).select("subject", "version", "schema"))
+_reg("joi_2_semi", "SELECT subject, version FROM v WHERE schema_id IN (SELECT schema_id FROM v WHERE subject = 'Brand#1')", lambda s, v: v.join(v.where("subject = 'Brand#1'").select("schema_id"), "schema_id", "left_semi").select("subject", "version"))
+_reg("joi_5_latest_schema", "SELECT subject, arg_max(schema, version) AS schema FROM v JOIN schemas ON schema_id = id WHERE NOT deleted GROUP BY subject", lambda s, v: R.with_schemas(R.latest(v), s).select("subject", "schema"))
+_reg("agg_1_distinct", "SELECT DISTINCT subject FROM v WHERE NOT deleted", lambda s, v: R.subjects(v))
+_reg("agg_2_max", "SELECT max(version) AS version FROM v WHERE subject = 'Brand#2' AND NOT deleted", lambda s, v: R.live(v).where("subject = 'Brand#2'").agg(F.max("version").alias("version")))
+_reg("srt_2_order_by", "SELECT subject, version FROM v WHERE NOT deleted ORDER BY subject, version", lambda s, v: R.live(v).select("subject", "version").orderBy("subject", "version"))
+
+
+@query("joi_3_cte", _REG_SQL + ", r AS (SELECT schema_id FROM v WHERE subject = 'Brand#2' AND version = 2) SELECT subject, version FROM v WHERE schema_id IN (SELECT schema_id FROM r) AND NOT deleted")
+def joi_cte(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as SQL text on Spark: a common table expression and a subquery."""
+    _, v = _registry(spark, sf)
+    return spark.sql("WITH r AS (SELECT schema_id FROM {v} WHERE subject = 'Brand#2' AND version = 2) SELECT subject, version FROM {v} WHERE schema_id IN (SELECT schema_id FROM r) AND NOT deleted", v=v)
+
+
+@query("flt_7_topics", "SELECT event_type AS topic, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
+def flt_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return _log(spark, sf).where(F.col("topic").isin("click", "view")).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("agg_7_combined_results", f"{_BASE} SELECT k, k <= 500 AND s = 'O' AS valid, (CASE WHEN k > 500 THEN 1 ELSE 0 END + CASE WHEN s <> 'O' THEN 1 ELSE 0 END)::INTEGER AS n_errors FROM b")
+def combined_results(spark: SparkSession, sf: str) -> DataFrame:
+    from streamcontract.plans.validation import combine
+
+    v = validate_full(instances(spark, sf), "doc", _prop("k", {"maximum": 500}), "a")
+    v = validate_full(v, "doc", _prop("s", {"const": "O"}), "b")
+    v = v.withColumn("c", combine(F.col("a"), F.col("b")))
+    return v.select("k", "c.valid", F.size("c.errors").alias("n_errors"))
+
+
+@query("set_1_missing_properties", f"{_BASE} SELECT k, CASE WHEN {_N} THEN 0 ELSE 1 END + CASE WHEN {_Z} THEN 0 ELSE 1 END AS n_missing FROM b")
+def set_missing(spark: SparkSession, sf: str) -> DataFrame:
+    keys = F.json_object_keys("doc")
+    return instances(spark, sf).select("k", F.size(F.array_except(F.array(F.lit("n"), F.lit("z"), F.lit("k")), keys)).alias("n_missing"))
+
+
+@query("set_2_union_of_properties", f"{_BASE} SELECT k, 6 + CASE WHEN {_N} THEN 1 ELSE 0 END + CASE WHEN {_Z} THEN 1 ELSE 0 END + 1 AS n_names FROM b")
+def set_union(spark: SparkSession, sf: str) -> DataFrame:
+    return instances(spark, sf).select("k", F.size(F.array_union(F.json_object_keys("doc"), F.array(F.lit("k"), F.lit("extra")))).alias("n_names"))
+
+
+# ---------------------------------------------------------------- stored topics and streams
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder among those that the cluster shares; a temporary one where none is named."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{named}/topics-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="topics-")
+
+
+def _published(spark: SparkSession, sf: str) -> object:
+    from streamcontract.sources.topics import TopicStore
+
+    store = TopicStore(prepare(spark), _scratch(spark))
+    store.publish(_log(spark, sf).withColumn("key", F.col("metadata")["user"]))
+    return store
+
+
+@query("snk_1_publish", "SELECT event_type AS topic, count(*) AS n, 0::BIGINT AS first_offset, count(*) - 1 AS last_offset, count(DISTINCT user_id) AS keys FROM events GROUP BY event_type")
+def publish(spark: SparkSession, sf: str) -> DataFrame:
+    """Events appended to a topic store; publishing them again adds nothing."""
+    store = _published(spark, sf)
+    store.publish(_log(spark, sf))
+    return store.read().groupBy("topic").agg(F.count("*").alias("n"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.countDistinct("key").alias("keys"))
+
+
+@query("src_1_subscribe", "SELECT event_type AS topic, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
+def subscribe(spark: SparkSession, sf: str) -> DataFrame:
+    """A consumer group over two topics from the beginning."""
+    from streamcontract.streaming.consumers import Consumer
+
+    store = _published(spark, sf)
+    out = f"{store.path}/seen"
+    Consumer(store, E.StreamConfig("g", ("click", "view"), start="0"), lambda df, n: df.select("topic", "event_id").write.mode("overwrite").parquet(f"{out}/batch={n}")).run_once()
+    return spark.read.parquet(out).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("snk_11_dead_letter", "SELECT event_type AS topic, count(*) AS n FROM events WHERE event_type IN ('click', 'view') AND user_id % 10 = 0 GROUP BY event_type")
+def dead_letter(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the handler refuses are set aside."""
+    from streamcontract.streaming.consumers import Consumer
+
+    store = _published(spark, sf)
+    refuse = lambda df, n: df.where(F.col("metadata")["user"].cast("int") % 10 == 0).withColumn("error", F.lit("refused"))
+    Consumer(store, E.StreamConfig("g", ("click", "view"), start="0"), refuse).run_once()
+    return spark.read.parquet(f"{store.path}/dead_letter/g").groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("str_7_stream_balances", "SELECT CAST(user_id AS VARCHAR) AS account, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS balance, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def stream_balances(spark: SparkSession, sf: str) -> DataFrame:
+    """Running sums as a stateful stream, over what is there."""
+    from streamcontract.streaming.consumers import balance_stream, read_stream
+
+    store = _published(spark, sf)
+    stream = read_stream(store, E.StreamConfig("g", ("purchase",), start="0"))
+    name = f"balances_{abs(hash(store.path))}"
+    q = balance_stream(stream, F.col("key"), F.get_json_object("payload", "$.k")).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{store.path}/balances").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("account", F.col("balance").cast("bigint").alias("balance"), "n")
+
+
+@query("snk_9_outbox_run", "SELECT event_type AS topic, count(*) AS n FROM events GROUP BY event_type")
+def outbox_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The outbox's batches, one after another, until it is empty."""
+    from streamcontract.sources.topics import TopicStore
+
+    folder = _scratch(spark)
+    topics = TopicStore(prepare(spark), f"{folder}/topics")
+    box = O.Outbox(spark, f"{folder}/outbox", topics, O.OutboxConfig(batch_size=50_000))
+    box.write(_log(spark, sf).withColumn("key", F.lit(None).cast("string")))
+    box.run()
+    return topics.read().groupBy("topic").agg(F.count("*").alias("n"))
