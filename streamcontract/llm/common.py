@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,14 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table of the shared folder: smaller than a checkpoint for large tables."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def fresh(df: DataFrame) -> DataFrame:
     """keep(), for tables of loops: forgets the constraints that the optimizer derived, which else multiply from turn to turn."""
     kept = keep(df)
@@ -64,6 +74,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """A table of bounded size on the driver, by Arrow: no Python object a row."""
+    out = df.toArrow().to_pandas()
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

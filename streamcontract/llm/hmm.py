@@ -14,9 +14,12 @@ the sums meet per symbol. In training, texts are cut into segments of `segment`
 tokens that carry no state over; in scoring, the scaled forward recursion runs
 over the whole text with one vector of memory a text.
 
-Exact counts of all words come from one aggregation by word; each block of texts
-then asks for its own different words by a join, so the vocabulary is never
-collected. A word is known by a 64-bit hash.
+Texts are first packed: hash blocks of about 8 MB, each one row with its texts' tokens
+as numbers into the block's own sorted vocabulary. All that follows reads these rows.
+Each block sends its vocabulary with training counts; they are added up by word, so
+the vocabulary is never collected. A word that one block alone has is counted by that
+block; the other words' totals go back to the blocks that have them by a join. A word
+is known by a 64-bit hash.
 
 Cases: null and empty texts are one token, the end; a null id has remainder 0;
 repeated rows are scored, and learned from, each; without training rows all words
@@ -25,15 +28,17 @@ are unknown and the emissions are uniform; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamcontract.llm.common import Words, keep, mix, prepare, remainder, runs, table, utf8
+from streamcontract.llm.common import Words, mix, prepare, remainder, runs, stored, table, utf8
 
 STATES, FREQUENT, CLASSES, ROUNDS, SEGMENT = 8, 4096, 4096, 4, 64
 BLOCK_BYTES = 8 << 20
@@ -55,67 +60,71 @@ class Hmm:
 
 
 def expected_counts(h: Hmm, seg: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, transition and emission counts of segments (n x length, -1 beyond the end); first: those that begin a text."""
+    """Start, transition and emission counts of segments (n x length, -1 beyond the end); first: those that begin a text.
+
+    States are rows. A symbol's emissions are scaled to a maximum of 1, which leaves
+    the posteriors as they are, so that rescaling every fourth step is enough.
+    """
     n, length = seg.shape
     k = len(h.start)
     own = seg >= 0
-    emit = h.emit.astype(np.float32)[np.where(own, seg, 0).T]  # length x n x k
-    emit[~own.T] = 1
+    table = (h.emit / np.maximum(h.emit.max(1, keepdims=True), 1e-300)).T.astype(np.float32)
+    table = np.concatenate([table, np.ones((k, 1), np.float32)], axis=1)  # beyond the end
+    symbols = np.where(own, seg, table.shape[1] - 1).T  # length x n
     move = h.move.astype(np.float32)
     stay = np.linalg.matrix_power(h.move, 64).mean(0).astype(np.float32)
-    a = np.where(first[:, None], h.start.astype(np.float32), stay) * emit[0]
-    a /= a.sum(1, keepdims=True)
-    forward = [a]
+    forward = np.empty((length, k, n), np.float32)
+    a = np.where(first, h.start.astype(np.float32)[:, None], stay[:, None]) * table[:, symbols[0]]
+    forward[0] = a / a.sum(0)
     for t in range(1, length):
-        a = (a @ move) * emit[t]
-        a /= a.sum(1, keepdims=True)
-        forward.append(a)
-    b = np.ones((n, k), np.float32)
+        a = (move.T @ forward[t - 1]) * table[:, symbols[t]]
+        if t % 4 == 0:
+            a /= a.sum(0)
+        forward[t] = a
+    b = np.ones((k, n), np.float32)
     moved = np.zeros((k, k))
-    seen = np.zeros((len(h.emit), k))
-    start = np.zeros(k)
-    for t in range(length - 1, -1, -1):
-        g = forward[t] * b
-        g /= g.sum(1, keepdims=True)
+    for t in range(length - 1, 0, -1):
+        now = forward[t]
+        e = table[:, symbols[t]] * b
         on = own[:, t]
-        s = seg[on, t]
-        for j in range(k):
-            seen[:, j] += np.bincount(s, weights=g[on, j], minlength=len(h.emit))
-        if t:
-            e = emit[t] * b
-            joint = (forward[t - 1] @ move) * e
-            e /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
-            moved += (forward[t - 1][on].T @ e[on]) * move
-            b = np.where(on[:, None], e @ move.T, b)
-            b /= np.maximum(b.sum(1, keepdims=True), 1e-30)
-        else:
-            start += g[first & on].sum(0)
+        before = forward[t - 1]
+        scale = on / np.maximum((before * (move @ e)).sum(0), 1e-38)
+        moved += (before * scale) @ e.T
+        now *= b
+        now /= now.sum(0)
+        b = move @ e
+        if t % 4 == 0:
+            b /= b.sum(0)
+    moved *= h.move
+    forward[0] *= b
+    forward[0] /= forward[0].sum(0)
+    start = (forward[0] * first).sum(1).astype(np.float64)
+    flat = symbols.ravel()
+    seen = np.stack([np.bincount(flat, weights=forward[:, j].ravel(), minlength=table.shape[1])[:-1] for j in range(k)], axis=1)
     return start, moved, seen
 
 
-def log_likelihood(h: Hmm, texts: list[np.ndarray], unknown: float) -> np.ndarray:
-    """Natural log of the probability of each whole sequence of symbols, by the scaled forward recursion.
+def log_likelihood(h: Hmm, flat: np.ndarray, sizes: np.ndarray, unknown: float) -> np.ndarray:
+    """Natural log of the probability of each whole sequence of symbols (one after another in flat), by the scaled forward recursion.
 
     Each state emits the unknown symbol with probability `unknown` and shares the rest out as trained.
     """
-    emit = (h.emit * (1 - unknown)).astype(np.float64)
-    emit[UNKNOWN] = unknown
-    order = np.argsort([-len(x) for x in texts], kind="stable")
-    sizes = np.array([len(texts[i]) for i in order])
-    total = np.zeros(len(texts))
-    alpha = np.tile(h.start, (len(texts), 1))
-    flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int64)
-    at = np.cumsum(sizes) - sizes
-    live = len(order)
-    for t in range(int(sizes[0]) if len(sizes) else 0):
-        while sizes[live - 1] <= t:
-            live -= 1
-        a = alpha[:live] if t == 0 else alpha[:live] @ h.move
-        a = a * emit[flat[at[:live] + t]]
-        s = a.sum(1, keepdims=True)
-        alpha[:live] = a / s
-        total[:live] += np.log(s[:, 0])
-    out = np.empty(len(texts))
+    emit = (h.emit * (1 - unknown)).T.copy()
+    emit[:, UNKNOWN] = unknown
+    move = h.move.T.copy()
+    order = np.argsort(-sizes, kind="stable")
+    first = (np.cumsum(sizes) - sizes)[order]
+    length = sizes[order]
+    live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")  # texts longer than t
+    total = np.zeros(len(sizes))
+    alpha = np.repeat(h.start[:, None], len(sizes), axis=1)
+    for t, m in enumerate(live.tolist()):
+        a = alpha[:, :m] if t == 0 else move @ alpha[:, :m]
+        a = a * emit[:, flat[first[:m] + t]]
+        s = a.sum(0)
+        alpha = a / s
+        total[:m] += np.log(s)
+    out = np.empty(len(sizes))
     out[order] = total
     return out
 
@@ -131,38 +140,65 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), (remainder(F.col("doc_id"), 10) == 0).alias("held_out"))
+@dataclass
+class Block:
+    """Texts of one block; word: places into vocabulary (sorted), one text after the other, without ends."""
+
+    doc_id: pa.Array
+    held_out: np.ndarray
+    sizes: np.ndarray
+    vocabulary: np.ndarray
+    classes: np.ndarray
+    word: np.ndarray
+
+    @property
+    def train(self) -> np.ndarray:
+        """Training count of each word of the vocabulary in this block."""
+        return np.bincount(self.word[~np.repeat(self.held_out, self.sizes)], minlength=len(self.vocabulary))
+
+
+def pack_block(t: pa.Table) -> Block:
+    data, at = utf8(t["text"])
+    hashes, classes, sizes = [], [], []
+    for lo, hi in runs(at):
+        w = Words(data, at, lo, hi)
+        hashes.append(w.hash)
+        classes.append(_class(w).astype(np.int32))
+        sizes.append(np.bincount(w.doc, minlength=hi - lo))
+    h = np.concatenate(hashes)
+    vocabulary, first, word = np.unique(h, return_index=True, return_inverse=True)
+    return Block(t["doc_id"].combine_chunks(), t["held_out"].to_numpy(), np.concatenate(sizes), vocabulary, np.concatenate(classes)[first], word.astype(np.uint32))
+
+
+def packed(docs: DataFrame, blocks: int) -> DataFrame:
+    """One row (block, payload) for each hash block of texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), (remainder(F.col("doc_id"), 10) == 0).alias("held_out"))
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        body = zstandard.ZstdCompressor(level=1).compress(pickle.dumps(pack_block(t), protocol=5))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "payload": pa.array([body], pa.binary())})
+
+    return rows.groupBy("block").applyInArrow(pack, "block int, payload binary")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Word hash, class and training count of all training words; partial sums per task, flushed at a bound."""
+def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
+    for b in batches:
+        for block, payload in zip(b.column(0), b.column(1), strict=True):
+            yield block.as_py(), _load(payload.as_py())
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, first, at = np.unique(h, return_index=True, return_inverse=True)
-            held.clear()
-            return pa.record_batch([pa.array(_signed(u)), pa.array(c[first].astype(np.int32)), pa.array(np.bincount(at, weights=n).astype(np.int64))], ["word", "class", "n"])
+def _load(payload: bytes) -> Block:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
 
-        size = 0
-        for b in batches:
-            data, at = utf8(b.column(0))
-            for lo, hi in runs(at):
-                w = Words(data, at, lo, hi)
-                u, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-                held.append((u, _class(w)[first], n))
-                size += len(u)
-                if size > 2_000_000:
-                    yield out()
-                    size = 0
-        if held:
-            yield out()
 
-    rows = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "word long, class int, n long")
-    return rows.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"))
+def vocabularies(blocks: DataFrame) -> DataFrame:
+    """(block, word, class, n): each block's words with their training counts in it."""
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, x in _unpack(batches):
+            yield pa.record_batch([pa.array(np.full(len(x.vocabulary), k, np.int32)), pa.array(_signed(x.vocabulary)), pa.array(x.classes), pa.array(x.train.astype(np.int32))], ["block", "word", "class", "n"])
+
+    return blocks.mapInArrow(words, "block int, word long, class int, n int")
 
 
 @dataclass
@@ -183,8 +219,9 @@ class Alphabet:
 
 
 def alphabet(counts: DataFrame, n_train_docs: int) -> Alphabet:
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # at most FREQUENT rows
-    sums = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("ones")).toPandas()  # at most CLASSES rows
+    """counts: word, class, n of all words (n may be 0)."""
+    top = counts.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # at most FREQUENT rows
+    sums = counts.where("n > 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("ones")).toPandas()  # at most CLASSES rows
     n_train = int(sums["n"].sum()) + n_train_docs
     types = int(sums["v"].sum()) + (n_train_docs > 0)
     ones = int(sums["ones"].sum())
@@ -199,31 +236,31 @@ def alphabet(counts: DataFrame, n_train_docs: int) -> Alphabet:
     return Alphabet(words[order], (FIRST + np.arange(len(top)))[order], count, n_train, types, float(np.clip((ones + 0.5) / (n_train + 1), 1e-9, 0.5)))
 
 
-def _sequences(words: Words, symbols: np.ndarray) -> list[np.ndarray]:
-    """Each text's symbols with the end."""
-    n = np.bincount(words.doc, minlength=words.n_docs)
-    return [np.append(x, END) for x in np.split(symbols, np.cumsum(n)[:-1])]
+def _with_ends(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols with an end after each text, and the lengths with it."""
+    return np.insert(symbols, np.cumsum(sizes), END), sizes + 1
+
 
+def _segments(flat: np.ndarray, sizes: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts cut into rows of `segment` symbols, -1 beyond an end; which rows begin a text."""
+    pieces = -(-sizes // segment)
+    row0 = np.cumsum(pieces) - pieces
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full((int(pieces.sum()), segment), -1, np.int32)
+    out[np.repeat(row0, sizes) + place // segment, place % segment] = flat
+    heads = np.zeros(len(out), bool)
+    heads[row0] = True
+    return out, heads
 
-def train(docs: DataFrame, letters: Alphabet, *, states: int = STATES, rounds: int = ROUNDS, segment: int = SEGMENT) -> Hmm:
+
+def train(blocks: DataFrame, letters: Alphabet, *, states: int = STATES, rounds: int = ROUNDS, segment: int = SEGMENT) -> Hmm:
     """Baum-Welch over all training texts; each round is one distributed pass."""
-    spark = docs.sparkSession
+    spark = blocks.sparkSession
     h = Hmm.first(states, len(letters.count), letters.count)
     if not letters.n_train:
         return h
     shared = spark.sparkContext.broadcast(letters)
-
-    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = shared.value
-        for b in batches:
-            data, at = utf8(b.column(0))
-            for lo, hi in runs(at):
-                w = Words(data, at, lo, hi)
-                own = [x.astype("<u2").tobytes() for x in _sequences(w, letters.of(w.hash, _class(w)))]
-                yield pa.record_batch([pa.array(own, pa.binary())], ["symbols"])
-
-    # two bytes a token; the rounds read these instead of the texts
-    texts = keep(docs.where(~F.col("held_out")).select("text").mapInArrow(encode, "symbols binary"))
+    columns = [f"s{j}" for j in range(states)]
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(h)
 
@@ -231,108 +268,68 @@ def train(docs: DataFrame, letters: Alphabet, *, states: int = STATES, rounds: i
             h = now.value
             k = len(h.start)
             start, moved, seen = np.zeros(k), np.zeros((k, k)), np.zeros((len(h.emit), k))
-            pieces: list[np.ndarray] = []
-            heads: list[bool] = []
-
-            def flush() -> None:
-                seg = np.full((len(pieces), segment), -1, np.int64)
-                for i, x in enumerate(pieces):
-                    seg[i, : len(x)] = x
-                for x, y in zip((start, moved, seen), expected_counts(h, seg, np.array(heads)), strict=True):
-                    x += y
-                pieces.clear()
-                heads.clear()
-
-            for b in batches:
-                for x in b.column(0):
-                    s = np.frombuffer(x.as_py(), "<u2").astype(np.int64)
-                    for i in range(0, len(s), segment):
-                        pieces.append(s[i : i + segment])
-                        heads.append(i == 0)
-                        if len(pieces) == 2048:
-                            flush()
-            if pieces:
-                flush()
+            for _, x in _unpack(batches):
+                learn = ~x.held_out
+                symbols = shared.value.of(x.vocabulary, x.classes)[x.word[np.repeat(learn, x.sizes)]]
+                seg, heads = _segments(*_with_ends(symbols, x.sizes[learn]), segment)
+                for lo in range(0, len(seg), 1024):
+                    for total, part in zip((start, moved, seen), expected_counts(h, seg[lo : lo + 1024], heads[lo : lo + 1024]), strict=True):
+                        total += part
             used = np.flatnonzero(seen.sum(1))
             keys = np.concatenate([[-1], -2 - np.arange(k), used])
             rows = np.vstack([start[None], moved, seen[used]])
-            yield pa.record_batch([pa.array(keys), *(pa.array(rows[:, j]) for j in range(k))], ["key", *(f"s{j}" for j in range(k))])
-
-        got = texts.mapInArrow(count, "key long, " + ", ".join(f"s{j} double" for j in range(states))).groupBy("key").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states))).toPandas()
-        key, rows = got["key"].to_numpy(), got.drop(columns="key").to_numpy()
-        start, moved, seen = rows[key == -1][0] + 1e-3, np.full((states, states), 1e-3), np.full(h.emit.shape, 1e-4)
-        for x, r in zip(key, rows, strict=True):
-            if x <= -2:
-                moved[-2 - x] += r
-            elif x >= 0:
-                seen[x] += r
+            yield pa.record_batch([pa.array(keys), *(pa.array(rows[:, j]) for j in range(k))], ["key", *columns])
+
+        got = blocks.mapInArrow(count, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        key, rows = got["key"].to_numpy(), got[columns].to_numpy()
+        start, moved, seen = rows[key == -1].sum(0) + 1e-3, np.full((states, states), 1e-3), np.full(h.emit.shape, 1e-4)
+        moved[-2 - key[key <= -2]] += rows[key <= -2]
+        seen[key[key >= 0]] += rows[key >= 0]
         seen[UNKNOWN] = 0
         h = Hmm(start / start.sum(), moved / moved.sum(1, keepdims=True), seen / seen.sum(0))
     return h
 
 
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_block(x: Block, words: np.ndarray, totals: np.ndarray, letters: Alphabet, h: Hmm) -> pa.Table:
+    """words, totals: training counts of those words that other blocks have too; the rest are counted here."""
+    c = x.train.astype(np.float64)
+    c[np.searchsorted(x.vocabulary, words)] = totals
+    bottom, end = letters.n_train + 0.1 * (letters.n_types + 1), letters.count[END]
+    symbols = np.where(c > 0, letters.of(x.vocabulary, x.classes), UNKNOWN)
+    inside = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(letters.count[symbols], 1)), 0.0)
+    doc = np.repeat(np.arange(len(x.sizes)), x.sizes)
+    add = lambda v: np.bincount(doc, weights=v[x.word], minlength=len(x.sizes))
+    flat, sizes = _with_ends(symbols[x.word], x.sizes)
+    total = log_likelihood(h, flat, sizes, letters.unknown) / np.log(10) + add(inside)
+    base = add(np.log10((c + 0.1) / bottom)) + np.log10((end + 0.1) / bottom)
+    seen = add(c > 0).astype(np.int64) + int(end > 0)
+    return pa.table({"doc_id": x.doc_id, "held_out": x.held_out, "n_tokens": sizes.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(sizes), letters.n_train, np.int64), "base_score": base, "score": total})
+
+
 def language_model(docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     spark = prepare(docs.sparkSession)
-    sizes = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"), F.sum((remainder(F.col("doc_id"), 10) != 0).cast("long")).alias("train")).first()
-    blocks = max(1, -(-(sizes["b"] or 0) // BLOCK_BYTES))
-    rows = _blocks(docs, blocks)
-    counts = keep(word_counts(rows))
-    letters = alphabet(counts, sizes["train"] or 0)
-    h = train(rows, letters, states=states, rounds=rounds)
+    sizes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b"), F.sum((remainder(F.col("doc_id"), 10) != 0).cast("long")).alias("train")).first()
+    n_blocks = max(1, -(-(sizes["b"] or 0) // BLOCK_BYTES))
+    blocks = stored(packed(docs, n_blocks))
+    wanted = vocabularies(blocks)
+    counts = stored(wanted.groupBy("word").agg(F.min("class").alias("class"), F.sum("n").alias("n"), F.count("*").alias("blocks")))
+    letters = alphabet(counts.select("word", "class", "n"), sizes["train"] or 0)
+    h = train(blocks, letters, states=states, rounds=rounds)
     shared = spark.sparkContext.broadcast((letters, h))
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's different words."""
-        for b in batches:
-            data, at = utf8(b.column(0))
-            block = b.column(1).to_numpy()
-            for lo, hi in runs(at):
-                w = Words(data, at, lo, hi)
-                mine = block[lo:hi][w.doc]
-                order = np.lexsort((w.hash, mine))
-                k, x = mine[order], w.hash[order]
-                new = np.ones(len(x), bool)
-                new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
-                yield pa.record_batch([pa.array(k[new]), pa.array(_signed(x[new]))], ["block", "word"])
-
-    wanted = rows.select("text", "block").mapInArrow(ask, "block int, word long").distinct()
-    # a word may be wanted by every block, but never more often than there are blocks
-    answers = wanted.join(counts.select("word", "n"), "word").select("block", "word", "n")
+    # a word comes from a block once, so it has at most as many rows here as there are blocks
+    answers = wanted.select("block", "word").join(counts.where("blocks > 1").select("word", "n"), "word").select("block", "word", "n")
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        letters, h = shared.value
-        words = right["word"].to_numpy().view(np.uint64)
-        order = np.argsort(words)
-        words, known = words[order], right["n"].to_numpy()[order].astype(np.float64)
-        data, at = utf8(left["text"])
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        bottom = letters.n_train + 0.1 * (letters.n_types + 1)
-        end = letters.count[END]
-        for lo, hi in runs(at):
-            w = Words(data, at, lo, hi)
-            c = np.zeros(len(w.hash))
-            if len(words):
-                i = np.minimum(np.searchsorted(words, w.hash), len(words) - 1)
-                c = np.where(words[i] == w.hash, known[i], 0.0)
-            n = np.bincount(w.doc, minlength=hi - lo)
-            symbols = np.where(c > 0, letters.of(w.hash, _class(w)), UNKNOWN)
-            inside = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(letters.count[symbols], 1)), 0.0)
-            total = log_likelihood(h, _sequences(w, symbols), letters.unknown) / np.log(10) + np.bincount(w.doc, weights=inside, minlength=hi - lo)
-            base = np.bincount(w.doc, weights=np.log10((c + 0.1) / bottom), minlength=hi - lo) + np.log10((end + 0.1) / bottom)
-            seen = np.bincount(w.doc, weights=c > 0, minlength=hi - lo).astype(np.int64) + int(end > 0)
-            for x, y in zip(out, (n + 1, seen, base, total), strict=True):
-                x.append(y)
-        n, seen, base, total = (np.concatenate(x) for x in out)
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": n.astype(np.int64), "n_known": seen, "train_tokens": np.full(len(n), letters.n_train, np.int64), "base_score": base, "score": total})
-
-    # blocks are bounded in bytes, so are both sides of a group
-    def grouped(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        return score(key, left, right)
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return score_block(_load(left["payload"][0].as_py()), right["word"].to_numpy().view(np.uint64), right["n"].to_numpy(), *shared.value)
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(grouped, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # blocks are bounded in bytes, and so are both sides of a group
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, RESULT)
 
 
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
