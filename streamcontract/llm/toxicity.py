@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from streamcontract.llm.common import NOT_ALNUM, Words, keep, prepare, remainder, runs, table, utf8
 
 BUCKETS, DIM, FILTERS, WIDTHS, PARTS = 1 << 17, 8, 8, (1, 2, 3), (4, 5, 6)
-PER_CLASS, MAX_WORDS, CUT = 2500, 3000, 0.7
+PER_CLASS, MAX_WORDS, CUT = 2000, 2000, 0.7
 
 
 @dataclass
@@ -220,7 +220,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", may_learn
     sample = sample.take(pa.array(order)).combine_chunks()
     values, offsets = sample["words"].combine_chunks().values.to_numpy(), sample["words"].combine_chunks().offsets.to_numpy()
     found = [values[a:b].reshape(-1, 1 + len(PARTS)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return fit(found, sample["label"].to_numpy().astype(np.int64), sample["lang"].to_pylist())
+    labels_, languages = sample["label"].to_numpy().astype(np.int64), sample["lang"].to_pylist()
+    del sample
+    try:
+        return fit(found, labels_, languages)
+    finally:
+        del found, values
+        pa.default_memory_pool().release_unused()
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
