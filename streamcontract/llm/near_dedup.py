@@ -1,10 +1,10 @@
 """MinHash near-deduplication: one-permutation hashing, optimal densification, bands, star-shaped candidate edges.
 
 A text's set is its distinct shingles of `width` words. One hash of a shingle
-chooses one of 256 bins and a value; a bin keeps its least value. Each empty bin
+chooses one of 512 bins and a value; a bin keeps its least value. Each empty bin
 takes the value of the first full bin in its own fixed random order of all bins
-(the same order for all texts). 42 bands of six bins are hashed; at similarity 0.8
-a pair shares no band with a probability of about 3 in a million.
+(the same order for all texts). 64 bands of eight bins are hashed; at similarity 0.8
+a pair shares no band with a probability of about 8 in a million.
 
 Texts with the same set are one class; the class goes on as its smallest id.
 Buckets (band hashes that two or more classes have) are worked off as stars:
@@ -12,13 +12,16 @@ Buckets (band hashes that two or more classes have) are worked off as stars:
  * passes: each class that shares an unsettled bucket with a smaller class of
    another component is compared with the smallest such class: at most one edge
    a class and pass;
- * then rounds that leave nothing out: each unsettled bucket takes one centre
-   (two, four, ... in later rounds), compares it with all its members of other
-   components, and retires it. A bucket is settled when its members are one
-   component; it is unsettled no longer than it has members.
-
-So no bucket is capped, a bucket of n members of one component costs about n
-comparisons, and every pair in a bucket is compared or already connected. Edges
+ * then one step that leaves nothing out: in every bucket that still has several
+   components, all its members of different components are weighed against each
+   other inside a task by an upper bound of the intersection (the sum of the smaller
+   counts of both sets in each of 256 cells of the hash range). Only pairs that the
+   bound allows to reach the similarity are sent on. Buckets of more than 2 * PART
+   members are dealt out as pairs of parts, so a task never holds a larger group.
+
+So no bucket is capped, a bucket whose members are one component costs about one
+comparison a member, every pair in a bucket is compared, ruled out exactly or
+already connected, and pairs are never expanded. Edges
 are confirmed on the full sets: 100 * intersection >= percent * union. Components
 come from minimum labels with pointer jumping, in DataFrames.
 
@@ -32,18 +35,18 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamcontract.llm.common import Words, fresh, keep, mix, prepare, runs, table, utf8
+from streamcontract.llm.common import Words, fresh, keep, mix, prepare, runs, shuffle_partitions, table, utf8
 
-BINS, ROWS = 256, 6
+BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
-PASSES = 2
+PASSES, PART, CELLS = 2, 1024, 256
 _U = np.uint64
 
 #: Each bin's order of donor bins.
@@ -77,7 +80,7 @@ def signatures(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Densified signatures, (texts with a set, BINS), of sorted sets."""
     full = np.flatnonzero(sizes)
     doc = np.repeat(np.arange(len(full)), sizes[full])
-    bins = (h >> _U(56)).astype(np.int64)
+    bins = (h >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
     cell = doc * BINS + bins
     first = np.ones(len(h), bool)
     first[1:] = cell[1:] != cell[:-1]
@@ -87,9 +90,15 @@ def signatures(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     sig, have = sig.reshape(-1, BINS), have.reshape(-1, BINS)
     for i in np.flatnonzero(~have.all(1)):
         empty = np.flatnonzero(~have[i])
-        donors = DONORS[empty]
-        pick = donors[np.arange(len(empty)), have[i][donors].argmax(1)]
-        sig[i, empty] = sig[i, pick]
+        for width in (32, BINS):  # nearly always one of the first is full
+            donors = DONORS[empty, :width]
+            full_ones = have[i][donors]
+            at = full_ones.argmax(1)
+            found = full_ones[np.arange(len(empty)), at]
+            sig[i, empty[found]] = sig[i, donors[np.arange(len(empty)), at][found]]
+            empty = empty[~found]
+            if not len(empty):
+                break
     return sig
 
 
@@ -158,7 +167,7 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, fresh: Callable[[DataFrame], DataFrame] = fresh) -> DataFrame:
     """(node, label): the smallest node that each node of an edge reaches. Minimum labels and pointer jumping."""
     both = fresh(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = fresh(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
@@ -172,6 +181,88 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def cell_counts(sets: DataFrame) -> DataFrame:
+    """rep and the counts of its set in equal cells of the hash range, as 16-bit integers (65535: as many or more)."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(1):
+                cells = np.frombuffer(x.as_buffer(), np.uint64) >> _U(56)
+                out.append(np.minimum(np.bincount(cells.astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["rep", "cells"])
+
+    return sets.mapInArrow(count, "rep long, cells binary")
+
+
+def possible_pairs(rep: np.ndarray, comp: np.ndarray, side: np.ndarray, cells: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that may reach the similarity; of a group of two sides, across them only."""
+    total = cells.sum(1, dtype=np.int64)
+    exact = (cells < 65535).all(1)
+    left, right = [], []
+    two = len(set(side.tolist())) > 1
+    for i in range(len(rep) - 1):
+        j = np.arange(i + 1, len(rep))
+        j = j[comp[j] != comp[i]]
+        if two:
+            j = j[side[j] != side[i]]
+        if not len(j):
+            continue
+        common = np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64)
+        # 100 * common >= percent * (sizes - common)
+        j = j[((100 + percent) * common >= percent * (total[i] + total[j])) | ~exact[i] | ~exact[j]]
+        left.append(np.full(len(j), rep[i]))
+        right.append(rep[j])
+    if not left:
+        return rep[:0], rep[:0]
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def remaining_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of the unsettled buckets (bucket, rep, comp) that may be links."""
+    sizes = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    rows = buckets.select("bucket", "rep", "comp").join(sizes, "bucket")
+    single = F.col("parts") <= 2
+    own = F.when(single, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("side", own).withColumn("other", F.explode(F.when(single, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    rows = rows.select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "rep", "comp").join(cell_counts(sets), "rep")
+    n = shuffle_partitions(buckets.sparkSession)
+    rows = rows.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").select("bucket", "p", "q", "side", "rep", "comp", "cells")
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            k = [t[c].to_numpy() for c in ("bucket", "p", "q")]
+            first = np.flatnonzero(np.concatenate([[True], (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])]))
+            rep, comp, side = (t[c].to_numpy() for c in ("rep", "comp", "side"))
+            cells = np.frombuffer(b"".join(t["cells"].to_pylist()), "<u2").reshape(-1, CELLS)
+            a, b = [], []
+            for lo, hi in zip(first, [*first[1:], len(rep)], strict=True):
+                x, y = possible_pairs(rep[lo:hi], comp[lo:hi], side[lo:hi], cells[lo:hi], percent)
+                a.append(x)
+                b.append(y)
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            k = [t[c].to_numpy() for c in ("bucket", "p", "q")]
+            same = np.flatnonzero((k[0] != k[0][-1]) | (k[1] != k[1][-1]) | (k[2] != k[2][-1]))
+            cut = int(same[-1]) + 1 if len(same) else 0  # the last group may go on
+            if cut:
+                yield from out(t.slice(0, cut))
+            held = t.slice(cut)
+        if held is not None:
+            yield from out(held)
+
+    return rows.mapInArrow(weigh, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, passes: int = PASSES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
@@ -182,43 +273,45 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, passe
     # rows of one id with different sets: the id stands for all of them
     tied = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.countDistinct(*key).alias("sets")).where("sets > 1").select("doc_id")
     same_id = rows.join(tied, "doc_id").join(classes.select(*key, "rep"), key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    member = classes.where("rep IS NOT NULL").select("rep", F.col("n").alias("size"), F.explode("bands").alias("bucket"))
+    member = classes.where("rep IS NOT NULL").select("rep", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    buckets = keep(member.join(shared, "bucket").select("bucket", "rep", "size"))
+    buckets = keep(member.join(shared, "bucket").select("bucket", "rep"))
+    n_rows = buckets.count()
+    # tables of the rounds have at most as many rows as buckets: as many partitions as those need
+    few = lambda df: fresh(df.coalesce(max(8, n_rows // 100_000)))
     texts = docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = full_sets(texts, width)
     if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         sets = sets.distinct()  # repeated rows of an id would meet each other
     sets = keep(sets)
-    links = fresh(same_id)
-    labels = components(links)
-    buckets, tested, turn = fresh(buckets), None, 0
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes that can reach the similarity
+    links = few(same_id)
+    labels = components(links, few)
+    sizes = classes.where("rep IS NOT NULL").groupBy("rep").agg(F.struct(F.min("n").alias("least"), F.max("n").alias("most")).alias("size"))
+    buckets, tested, turn = few(buckets.join(sizes, "rep").select("bucket", "rep", "size")), None, 0
+    close = lambda x, y: (x["most"] * 100 >= y["least"] * percent) & (y["most"] * 100 >= x["least"] * percent)  # noqa: E731  sizes that can reach the similarity
     while True:
         own = labels.select(F.col("node").alias("rep"), F.col("label"))
         now = buckets.join(own, "rep", "left").select("bucket", "rep", "size", F.coalesce("label", "rep").alias("comp"))
         unsettled = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "size", "comp")).alias("centre")).where("lo <> hi")
-        buckets = fresh(now.join(unsettled.select("bucket", "centre"), "bucket"))
+        buckets = few(now.join(unsettled.select("bucket", "centre"), "bucket"))
         if not buckets.limit(1).count():
             break
         if turn < passes:
             e = buckets.where((F.col("comp") != F.col("centre.comp")) & close(F.col("size"), F.col("centre.size"))).select(F.col("centre.rep").alias("a"), F.col("rep").alias("b"))
             e = e if tested is None else e.join(tested, ["a", "b"], "left_anti")
-            edges = fresh(e.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+            edges = few(e.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
             buckets = buckets.select("bucket", "rep", "size")
         else:
-            # centres: the least in each of m parts of a bucket, dealt by hash
-            part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(4 << min(turn - passes, 20)))
-            centres = fresh(buckets.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rep", "size", "comp")).alias("c")).select("bucket", "c"))
-            e = buckets.select("bucket", "rep", "size", "comp").join(centres, "bucket").where((F.col("comp") != F.col("c.comp")) & close(F.col("size"), F.col("c.size"))).select(F.least("c.rep", "rep").alias("a"), F.greatest("c.rep", "rep").alias("b")).distinct()
-            edges = fresh(e if tested is None else e.join(tested, ["a", "b"], "left_anti"))
-            buckets = fresh(buckets.select("bucket", "rep", "size").join(centres.select("bucket", F.col("c.rep").alias("rep")), ["bucket", "rep"], "left_anti"))
+            e = remaining_pairs(buckets, sets, percent)
+            edges = few(e if tested is None else e.join(tested, ["a", "b"], "left_anti"))
         turn += 1
-        new = fresh(confirm(edges, sets, percent))
+        new = few(confirm(edges, sets, percent))
         tested = edges if tested is None else tested.union(edges)
         if new.limit(1).count():
             links = links.union(new)
-            labels = components(links)
+            labels = components(links, few)
+        if turn > passes:
+            break
     # every class of a component, then every row of a class
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     out = rows.select("doc_id", *key).join(by_class, key, "left")
