@@ -317,14 +317,14 @@ def to_wire(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "src_4_from_wire",
     f"""SELECT {_EID_SQL} AS event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS fine, CASE WHEN event_id % 5 = 0 THEN 'missing event_version' WHEN event_id % 7 = 0 THEN 'invalid event_time' END AS error,
-  CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) END AS event_us, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS user FROM events""",
+  CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) ELSE -1 END AS event_us, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS user FROM events""",
 )
 def from_wire(spark: SparkSession, sf: str) -> DataFrame:
     """Damaged fields decode to error rows; bad metadata is empty."""
     n = F.substring("event_id", -12, 12).cast("long")
     w = E.to_wire(_log(spark, sf)).withColumns({"event_version": F.when(n % 5 != 0, F.col("event_version")), "event_time": F.when(n % 7 == 0, F.lit("yesterday")).otherwise(F.col("event_time")), "metadata": F.when(n % 3 == 0, F.lit("{")).otherwise(F.col("metadata"))})
     d = E.from_wire(w)
-    return d.select("event_id", F.col("error").isNull().alias("fine"), "error", F.unix_micros("event_time").alias("event_us"), F.col("metadata")["user"].alias("user"))
+    return d.select("event_id", F.col("error").isNull().alias("fine"), "error", F.coalesce(F.unix_micros("event_time"), F.lit(-1)).alias("event_us"), F.col("metadata")["user"].alias("user"))
 
 
 @query("src_2_typed", "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k, 0::BIGINT AS bad FROM events GROUP BY event_type")
