@@ -9,9 +9,11 @@ Inside a source the rates w_i of its texts minimise the relative entropy to equa
 rates under sum(w_i size_i) = target and w_i <= most. The solution is
 min(most, exp(lambda * size_i / scale)), scale being the source's size-weighted
 mean size, so the convex dual has one lambda a source.
-Newton's iterations (safeguarded by the bracket that they have seen) run for all
-sources at once as joins and aggregations over the table (source, size, how many):
-gradient and curvature are sums over it.
+Newton's iterations run for all sources at once as joins and aggregations over the
+table (source, size, how many): gradient and curvature are sums over it. The
+smallest text bounds lambda from both sides; an iteration that leaves the bracket,
+and each eighth one, halves it instead. They go on until every source reaches its
+target to a billionth; `solve_rates` raises if one does not.
 
 Rates become whole copies by carrying the rounding error from text to text in the
 order of falling size, in bounded groups of a source; so a group misses its share
@@ -32,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streamcontract.llm.common import keep, prepare, table
+from streamcontract.llm.common import fresh, keep, prepare, table
 
-WEIGHTS, MOST, ROUNDS, GROUP = (1.0, 2.0, 3.0), 3, 40, 20_000
+WEIGHTS, MOST, ROUNDS, GROUP = (1.0, 2.0, 3.0), 3, 1000, 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -72,15 +74,23 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def solve_rates(histogram: DataFrame, sources: DataFrame, most: int = MOST, rounds: int = ROUNDS) -> DataFrame:
-    """source key, lambda, scale. histogram: source, last, size, m; sources: with target and total."""
+    """source key, lambda, scale. histogram: source, last, size, m; sources: with target and total.
+
+    Raises if a source is not at its target after `rounds` rounds, which is far more than halving alone needs.
+    """
     on = ["source", "last"]
-    scale = histogram.groupBy(*on).agg((F.sum(F.col("m") * F.col("size") * F.col("size")) / F.sum(F.col("m") * F.col("size"))).alias("scale"))
-    state = sources.join(scale, (sources["source"].eqNullSafe(scale["source"])) & (sources["last"] == scale["last"])).select(sources["source"], sources["last"], "total", "target", "scale")
-    # a source that is taken whole `most` times, or not at all, needs no search
-    state = state.withColumns({"lam": F.lit(0.0), "low": F.lit(-1e6), "high": F.lit(1e6), "done": (F.col("target") >= F.col("total") * most * (1 - 1e-12)) | (F.col("target") <= 0)})
-    state = keep(state)
+    scale = histogram.groupBy(*on).agg((F.sum(F.col("m") * F.col("size") * F.col("size")) / F.sum(F.col("m") * F.col("size"))).alias("scale"), F.min("size").alias("least"))
+    state = sources.join(scale, (sources["source"].eqNullSafe(scale["source"])) & (sources["last"] == scale["last"])).select(sources["source"], sources["last"], "total", "target", "scale", "least")
     top = math.log(most)
-    for _ in range(rounds):
+    # at lambda = x * scale / least all texts have a rate of at least exp(x), for x > 0, or at most that, for x < 0; the bracket is a little wider
+    reach = 1.001 * F.col("scale") / F.col("least")
+    low = F.when(F.col("target") < F.col("total"), F.log(F.col("target") / F.col("total")) * reach).otherwise(0.0) - 1e-3
+    # a source that is taken whole `most` times, or not at all, needs no search
+    state = state.withColumns({"lam": F.lit(0.0), "low": low, "high": top * reach + 1e-3, "done": (F.col("target") >= F.col("total") * most * (1 - 1e-12)) | (F.col("target") <= 0)})
+    state = fresh(state.drop("least"))
+    for i in range(rounds):
+        if not state.where("NOT done").limit(1).count():
+            return state
         s = state.where("NOT done").alias("s")
         h = histogram.alias("h")
         e = F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(top))
@@ -93,19 +103,18 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, most: int = MOST, roun
         miss = F.col("reached") - F.col("target")
         low, high = F.when(miss < 0, F.col("lam")).otherwise(F.col("low")), F.when(miss > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - miss / F.when(F.col("slope") > 0, F.col("slope"))
-        newton = F.greatest(F.least(newton, F.col("lam") + 2), F.col("lam") - F.greatest(F.lit(2.0), F.abs("lam")))
-        middle = F.when(high >= 1e6, F.greatest(2 * F.col("lam"), F.lit(1.0))).when(low <= -1e6, F.least(2 * F.col("lam"), F.lit(-1.0))).otherwise((low + high) / 2)
-        inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
-        moved = ~F.col("done") & F.col("reached").isNotNull() & (F.abs(miss) > 1e-9 * F.col("target"))
-        state = keep(
+        inside = F.coalesce((newton > low) & (newton < high), F.lit(False)) if i % 8 < 7 else F.lit(False)
+        moved = ~F.col("done") & (F.abs(miss) > 1e-9 * F.col("target"))
+        state = fresh(
             t.join(u, F.col("t.source").eqNullSafe(F.col("u.source")) & (F.col("t.last") == F.col("u.last")), "left").select(
                 F.col("t.source").alias("source"), F.col("t.last").alias("last"), "total", "target", "scale",
-                F.when(moved, F.when(inside, newton).otherwise(middle)).otherwise(F.col("lam")).alias("lam"),
+                F.when(moved, F.when(inside, newton).otherwise((low + high) / 2)).otherwise(F.col("lam")).alias("lam"),
                 F.when(moved, low).otherwise(F.col("low")).alias("low"), F.when(moved, high).otherwise(F.col("high")).alias("high"), (~moved).alias("done"),
             )
         )
-        if not state.where("NOT done").limit(1).count():
-            break
+    left = state.where("NOT done")
+    if n := left.count():
+        raise RuntimeError(f"{n} sources have not reached their target after {rounds} rounds, {left.first()['source']!r} among them")
     return state
 
 

@@ -399,6 +399,25 @@ def test_rates_are_tilted(spark):
         assert reached == pytest.approx(r.target, rel=1e-6)
 
 
+def test_rates_of_heavy_tails(spark):
+    """Few long texts hold most words and the target is near `most` times the size, or near nothing."""
+    hist, src = [], []
+    for name, long, n, share in [("a", 200_000, 20, 2.5), ("b", 200_000, 20, 2.9), ("c", 100_000, 100, 2.9), ("d", 5_000_000, 3, 2.99), ("e", 200_000, 20, 0.001), ("f", 5_000_000, 3, 1.0)]:
+        own = [*((name, False, w, 18) for w in range(1 if name == "d" else 50, 601)), (name, False, long, n)]
+        total = sum(w * m for _, _, w, m in own)
+        hist += own
+        src.append((name, False, total, share * total))
+    h = spark.createDataFrame(hist, "source string, last boolean, size long, m long")
+    sources = spark.createDataFrame(src, "source string, last boolean, total long, target double")
+    got = mixing.solve_rates(h, sources).collect()
+    assert len(got) == len(src)
+    for r in got:
+        reached = sum(w * m * math.exp(min(r.lam * w / r.scale, math.log(3))) for s, _, w, m in hist if s == r.source)
+        assert reached == pytest.approx(r.target, rel=1e-6), r.source
+    with pytest.raises(RuntimeError):
+        mixing.solve_rates(h, sources, rounds=2)
+
+
 # ---------------------------------------------------------------- 8
 
 
