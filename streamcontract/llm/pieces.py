@@ -209,4 +209,4 @@ def pieces(docs: DataFrame, model: str, *, chunk: int = CHUNK, keep_ids: bool =
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)

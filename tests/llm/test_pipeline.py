@@ -38,6 +38,17 @@ def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pieces_are_returned(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(20)
+    want = {r.doc_id: sp.encode(r.text or "") for r in docs.collect()}
+    assert {r.doc_id: r.ids for r in corpus_pipeline.pieces_stage(spark, docs, SF).collect()} == want
+    assert "ids" in entry.queries()["op9_pieces"](spark, SF).columns
+
+
 @pytest.mark.parametrize("name", ["op2_exact_topk", "op10_near_dedup"])
 def test_sql(spark, name):
     import duckdb
