@@ -346,6 +346,20 @@ def test_quality(spark):
     assert quality.quality(made(spark, []), labels).count() == 0
 
 
+def test_quality_thresholds_of_small_languages(spark):
+    """A language that is rare in the sample has its own threshold if it has `least` trusted texts in all."""
+    rng = random.Random(4)
+    rows = [(i, sentence(rng, 40), "en", "s") for i in range(1500)] + [(2000 + i, sentence(rng, 40, "xyzw!QZ"), "xx", "s") for i in range(80)] + [(None, sentence(rng, 40), "en", "s"), (None, "@@@ ### !!!" * 20, "en", "s")]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows if r[0] is not None], "doc_id long, quality int")
+    got = quality.quality(made(spark, rows), labels, sample=200, least=50).collect()
+    assert len(got) == len(rows)
+    assert len({r.threshold for r in got}) == 2
+    assert sum(r.kept for r in got if r.lang == "xx") >= 78
+    kept = quality.filter_quality(made(spark, rows), labels, sample=200, least=50)
+    assert kept.columns == made(spark, rows).columns
+    assert [r.text for r in kept.where("doc_id IS NULL").collect()] == [rows[-2][1]]
+
+
 # ---------------------------------------------------------------- 7
 
 
