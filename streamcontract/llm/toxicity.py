@@ -8,10 +8,12 @@ the windows that won.
 
 The model is fitted on the driver on a bounded sample of labelled rows:
 `per_class` texts of each label at most, those with the smallest hash of their id,
-each no longer than `max_words` words. A fifth of the sample is set aside; on it
-the score is shifted so that the best cut is at 0.7, and a threshold is chosen for
-each language with enough labelled texts (0.7 for the others). Language, source,
-label and id are never inputs of a score.
+whatever their length, each whole: its different words' buckets and where they
+stand. A fifth of the sample is set aside; on it the score is shifted so that the
+best cut is at 0.7. A threshold is then chosen for each language from the scores of
+all labelled rows that were not trained on, as counts by label and a ten-thousandth
+of the score, where both labels have at least `least` of them (0.7 for the others).
+Language, source, label and id are never inputs of a score.
 
 Scoring is one narrow pass over all whole texts; what is broadcast is the model,
 2^17 x 8 floats whatever the data.
@@ -24,18 +26,19 @@ rows give repeated results, input columns with clashing names are not kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from streamcontract.llm.common import NOT_ALNUM, Words, keep, prepare, remainder, runs, table, utf8
 
 BUCKETS, DIM, FILTERS, WIDTHS, PARTS = 1 << 17, 8, 8, (1, 2, 3), (4, 5, 6)
-PER_CLASS, MAX_WORDS, CUT = 2000, 2000, 0.7
+PER_CLASS, LEAST, STEPS, CUT = 2500, 20, 10_000, 0.7
 
 
 @dataclass
@@ -87,8 +90,28 @@ def pooled(model: Model, words: np.ndarray, word: np.ndarray, sizes: np.ndarray,
     return top, place
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, seed: int = 7) -> Model:
-    """docs: each text's (places, 4) buckets."""
+class Packed:
+    """A whole text: (different words, 4) buckets and the word at each place."""
+
+    __slots__ = ("places", "words")
+
+    def __init__(self, words: np.ndarray, places: np.ndarray) -> None:
+        self.words, self.places = words, places
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+
+def joined(docs: list[Packed | np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts and the word at each place of their concatenation."""
+    docs = [d if isinstance(d, Packed) else Packed(d, np.arange(len(d))) for d in docs]
+    words = np.concatenate([d.words for d in docs])
+    first = np.cumsum([0, *(len(d.words) for d in docs)])
+    return words, np.concatenate([d.places + np.int64(f) for d, f in zip(docs, first, strict=False)])
+
+
+def train(docs: list[Packed | np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.1, seed: int = 7) -> Model:
+    """docs: each text, packed or as its (places, 4) buckets."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), {w: rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}, rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32), 0.0)
     grown = {"t": np.full(BUCKETS, 1e-2, np.float32), "w": np.full_like(model.weights, 1e-2), "b": 1e-2, **{w: np.full_like(f, 1e-2) for w, f in model.filters.items()}}
@@ -101,9 +124,9 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: i
             sizes = np.array([len(docs[i]) for i in some])
             if not sizes.sum():
                 continue
-            flat = np.concatenate([docs[i] for i in some])
+            flat, at = joined([docs[i] for i in some])
             _, first, word = np.unique(flat[:, 0].astype(np.int64) << 32 | flat[:, 1], return_index=True, return_inverse=True)
-            words = flat[first]
+            words, word = flat[first], word[at]
             top, place = pooled(model, words, word, sizes, winners=True)
             h = np.maximum(top, 0)
             z = h @ model.weights + model.bias
@@ -136,13 +159,12 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: i
     return model
 
 
-def raw_scores(model: Model, docs: list[np.ndarray]) -> np.ndarray:
+def raw_scores(model: Model, docs: list[Packed | np.ndarray]) -> np.ndarray:
     out = np.zeros(len(docs))
-    for lo in range(0, len(docs), 256):
-        some = docs[lo : lo + 256]
-        sizes = np.array([len(d) for d in some])
-        flat = np.concatenate(some) if sizes.sum() else np.zeros((0, 1 + len(PARTS)), np.int32)
-        top, _ = pooled(model, flat, np.arange(len(flat)), sizes)
+    for lo in range(0, len(docs), 64):
+        some = docs[lo : lo + 64]
+        words, word = joined(some)
+        top, _ = pooled(model, words, word, np.array([len(d) for d in some]))
         out[lo : lo + len(some)] = np.maximum(top, 0) @ model.weights + model.bias
     return out
 
@@ -159,8 +181,18 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float(high[k] - gap[k] / 2)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, languages: list[str], least: int = 20) -> Model:
-    """Trains on four fifths, calibrates on the rest."""
+def best_step(step: np.ndarray, hits: np.ndarray, count: np.ndarray) -> float:
+    """best_cut of scores known as counts: step (in STEPS of 1), toxic texts and all texts of each."""
+    order = np.argsort(-step)
+    high = (step[order] + 0.5) / STEPS
+    f1 = 2 * np.cumsum(hits[order]) / (np.cumsum(count[order]) + hits.sum())
+    gap = np.append(high[:-1] - high[1:], 1.0)
+    k = max(np.flatnonzero(f1 >= f1.max() - 1e-12), key=lambda i: gap[i])
+    return float(high[k] - gap[k] / 2)
+
+
+def fit(docs: list[Packed], labels: np.ndarray) -> tuple[Model, np.ndarray]:
+    """Trains on four fifths, calibrates on the rest; the model and which texts it was trained on."""
     set_aside = np.arange(len(docs)) % 5 == 4
     if len(set(labels[~set_aside])) < 2 or len(set(labels[set_aside])) < 2:
         set_aside[:] = False
@@ -171,62 +203,72 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, languages: list[str], least:
     apart = np.median(z[y == 1]) - np.median(z[y == 0])
     model.scale = float(np.clip(6 / max(apart, 1e-3), 0.3, 3))
     model.shift = float(np.log(CUT / (1 - CUT)) - model.scale * cut)
-    scores = model.score(z)
-    for name in sorted({languages[i] for i in at}):
-        own = np.array([languages[i] == name for i in at])
-        if min(y[own].sum(), (1 - y[own]).sum()) >= least:
-            model.thresholds[name] = float(np.clip(best_cut(scores[own], y[own]), 0.5, 0.9))
-    return model
+    return model, ~set_aside
+
+
+def thresholds(scored: DataFrame, least: int = LEAST) -> dict[str, float]:
+    """Each language's cut; scored: lang, label, score. At most STEPS rows a language and label come to the driver."""
+    step = F.floor(F.col("score") * STEPS).cast("int").alias("step")
+    by = scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), step).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).toArrow().to_pandas()
+    out = {}
+    for name, own in by.groupby("lang"):
+        hits, n = own["hits"].to_numpy(), own["n"].to_numpy()
+        if min(hits.sum(), (n - hits).sum()) >= least:
+            out[name] = float(np.clip(best_step(own["step"].to_numpy(), hits, n), 0.5, 0.9))
+    return out
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """The sample's features; columns: doc_id, text, label, lang."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """The sample's features; columns: doc_id, text, label."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(1))
-            flat, sizes = [], []
-            for lo, hi in runs(at):
-                w = Words(data, at, lo, hi, NOT_ALNUM)
-                flat.append(features(w))
-                sizes.append(np.bincount(w.doc, minlength=hi - lo))
-            sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            values = np.concatenate(flat).ravel() if flat else np.zeros(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes * (1 + len(PARTS)))]).astype(np.int32)
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "label", "lang", "n", "words"])
+            words, places = [], []
+            for i in range(len(at) - 1):
+                w = Words(data, at, i, i + 1, NOT_ALNUM)
+                _, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
+                words.append(features(w)[first].tobytes())
+                places.append(word.astype(np.int32).tobytes())
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(words, pa.binary()), pa.array(places, pa.binary())], ["doc_id", "label", "words", "places"])
 
-    return rows.mapInArrow(of, "doc_id long, label int, lang string, n long, words array<int>")
+    return rows.mapInArrow(of, "doc_id long, label int, words binary, places binary")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", may_learn: object = None, per_class: int = PER_CLASS, max_words: int = MAX_WORDS) -> Model | None:
-    """The model of a bounded sample of the labelled rows of docs."""
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", may_learn: object = None, per_class: int = PER_CLASS, least: int = LEAST) -> Model | None:
+    """The model of a bounded sample of the labelled rows of docs, with thresholds from the other labelled rows."""
+    spark = prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     if may_learn is not None:
         known = known.where(may_learn)
     mixed = F.xxhash64("doc_id")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id")
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id")
     ids = None
     for y in (0, 1):
-        part = known.where(F.col("label") == y).orderBy(mixed, "doc_id").limit(per_class)
+        part = there.where(F.col("label") == y).orderBy(mixed, "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     ids = keep(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # ids is bounded: 2 * per_class rows
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", F.coalesce("lang", F.lit("")).alias("lang"))
-    sample = _buckets(rows).where(F.col("n") <= max_words).dropDuplicates(["doc_id"]).toArrow()
+    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    sample = _packed(rows).dropDuplicates(["doc_id"]).toArrow()
     if len(set(sample["label"].to_pylist())) < 2:
         return None
     order = np.lexsort((sample["doc_id"].to_numpy(), _spread(sample["doc_id"].to_numpy())))
-    sample = sample.take(pa.array(order)).combine_chunks()
-    values, offsets = sample["words"].combine_chunks().values.to_numpy(), sample["words"].combine_chunks().offsets.to_numpy()
-    found = [values[a:b].reshape(-1, 1 + len(PARTS)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    labels_, languages = sample["label"].to_numpy().astype(np.int64), sample["lang"].to_pylist()
+    sample = sample.take(pa.array(order))
+    found = [Packed(np.frombuffer(w.as_buffer(), np.int32).reshape(-1, 1 + len(PARTS)), np.frombuffer(p.as_buffer(), np.int32)) for w, p in zip(sample["words"], sample["places"], strict=True)]
+    labels_, names = sample["label"].to_numpy().astype(np.int64), sample["doc_id"].to_numpy()
     del sample
     try:
-        return fit(found, labels_, languages)
+        model, trained = fit(found, labels_)
     finally:
-        del found, values
+        del found
         pa.default_memory_pool().release_unused()
+    # at most 2 * per_class ids
+    seen = spark.createDataFrame([(int(x),) for x in names[trained]], "doc_id long")
+    others = texts.join(F.broadcast(seen), "doc_id", "left_anti").join(known.select(F.col("doc_id"), F.col("label")), "doc_id")
+    model.thresholds = thresholds(toxicity(others, model, ["label"]).select("lang", F.col("in_label").alias("label"), "score"), least)
+    return model
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
@@ -235,12 +277,16 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64))
 
 
-def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs' columns doc_id, lang and, of the whole text, score double and toxic boolean (score >= the language's threshold)."""
+def toxicity(docs: DataFrame, model: Model | None, carry: Sequence[str] = ()) -> DataFrame:
+    """docs' columns doc_id, lang and, of the whole text, score double and toxic boolean (score >= the language's threshold); in_<c> is the row's own column c of carry."""
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), *(F.col(c).alias(f"in_{c}") for c in carry if c != "text"))
+    rest = [f"in_{c}" for c in carry if c != "text"]
+    names = ["in_text", *rest] if "text" in carry else rest
+    given = rows.withColumn("in_text", F.col("text"))
     if model is None:
-        return rows.select("doc_id", "lang", F.lit(0.0).alias("score"), F.lit(False).alias("toxic"))
+        return given.select("doc_id", "lang", F.lit(0.0).alias("score"), F.lit(False).alias("toxic"), *names)
+    schema = StructType([*StructType.fromDDL("doc_id long, lang string, score double, toxic boolean"), *(given.schema[c] for c in names)])
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +301,14 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
                 z[lo:hi] = np.maximum(top, 0) @ model.weights + model.bias
             s = model.score(z)
             cuts = np.array([model.thresholds.get(x or "", CUT) for x in b.column(2).to_pylist()])
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(s), pa.array(s >= cuts)], ["doc_id", "lang", "score", "toxic"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(s), pa.array(s >= cuts), *([b.column(1)] if "in_text" in names else []), *b.columns[3:]], ["doc_id", "lang", "score", "toxic", *names])
+
+    return rows.mapInArrow(score, schema)
+
 
-    return rows.mapInArrow(score, "doc_id long, lang string, score double, toxic boolean")
+def filter_toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that are not toxic, with all their columns; each row is decided by its own text."""
+    return toxicity(docs, model, docs.columns).where(~F.col("toxic")).select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

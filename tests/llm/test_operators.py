@@ -152,6 +152,19 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
 
 
+def test_long_texts_are_in_the_sample(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 2100, "ab") + " idiotq" * (i % 3 == 0), "en", "s") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    fit, seen = toxicity.fit, []
+    monkeypatch.setattr(toxicity, "fit", lambda docs, y: seen.extend(map(len, docs)) or fit(docs, y))
+    model = toxicity.learn(made(spark, rows), labels, per_class=60)
+    assert model is not None
+    assert len(seen) == 120
+    assert min(seen) >= 2100
+    assert set(model.thresholds) == {"en"}  # of 120 texts 24 are set aside; all labelled ones that were not trained on count
+
+
 def test_pooling_is_the_convolution():
     rng = np.random.default_rng(0)
     m = toxicity.train([rng.integers(0, 1000, (9, 4)).astype(np.int32)] * 4, np.array([0, 1, 0, 1]), epochs=1)
