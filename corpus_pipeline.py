@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamcontract.llm import mixing, near_dedup, pieces, quality, toxicity
@@ -19,34 +19,54 @@ from streamcontract.llm.common import shared_dir, table
 #: No stage is SQL: the models are trained, the copies come from solved rates.
 ORACLE_SQL = None
 
+#: Words of a shingle.
+WIDTH = 5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, decided: DataFrame, kept: object) -> DataFrame:
-    """The rows of docs whose id was kept; ids that were decided twice stay if either row was kept."""
-    ids = decided.where(kept).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi").select(*COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    return _keep(docs, quality.quality(docs, table(spark, sf_dir, "labels")), F.col("kept"))
+    """Rows that the classifier accepts, each by its own text."""
+    return quality.filter_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below their language's threshold."""
-    return _keep(docs, toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))), ~F.col("toxic"))
+    """Rows below their language's threshold, each by its own text."""
+    return toxicity.filter_toxicity(docs.select(*COLUMNS), toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, one row of it."""
-    return _keep(docs, near_dedup.near_duplicates(docs, width=5, percent=80), F.col("kept")).dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near copies, one row of it (the smallest by its columns).
+
+    Rows without an id have no document but their text: one row of each set of
+    shingles that no document with an id has, and one of each text without words.
+    """
+    docs = docs.select(*COLUMNS)
+    ids = near_dedup.near_duplicates(docs, width=WIDTH, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), *COLUMNS)).alias("r")
+    kept = docs.join(ids, docs["doc_id"] == ids["__id"], "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(least).select("r.*").select(*COLUMNS)
+    nameless = docs.where("doc_id IS NULL")
+    if not nameless.limit(1).count():
+        return kept
+    key = ["n", "k1", "k2"]
+    own = near_dedup.set_keys(nameless, WIDTH).withColumn("same", F.when(F.col("n") == 0, F.coalesce("text", F.lit(""))))
+    own = own.groupBy(*key, "same").agg(least)
+    named = near_dedup.set_keys(docs.where("doc_id IS NOT NULL").select("text"), WIDTH).where("n > 0").select(*key)
+    return kept.unionByName(own.join(named, key, "left_anti").select("r.*").select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    """Each row as often as the mix takes it.
+
+    Rows of the same id, source and size are alike to the mix: their copies are handed out in the order of their texts.
+    """
+    size = mixing.word_count(F.col("text"))
+    rows = docs.select(*COLUMNS, size.alias("__size"))
+    like = [F.col("doc_id").cast("long"), F.col("source").cast("string")]
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*like, "__size").orderBy(F.xxhash64("text"), "text", "lang", "n_chars")))
+    copies = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), "copies")
+    copies = copies.withColumn("__at", F.row_number().over(Window.partitionBy("__id", "__source", "__words").orderBy(F.desc("copies")))).where("copies > 0")
+    same = like[0].eqNullSafe(F.col("__id")) & like[1].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")) & (F.col("__n") == F.col("__at"))
+    taken = rows.join(copies, same)
     return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

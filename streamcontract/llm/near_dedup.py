@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from streamcontract.llm.common import Words, fresh, keep, mix, prepare, runs, shuffle_partitions, table, utf8
 
@@ -132,6 +133,27 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
+def set_keys(docs: DataFrame, width: int) -> DataFrame:
+    """All columns of docs (one is text) and n, k1, k2 of each row's set."""
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    names, at_text = rows.columns, rows.columns.index("text")
+
+    def key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column(at_text))
+            for lo, hi in runs(at):
+                h, n = shingle_sets(data, at, lo, hi, width)
+                k1, k2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
+                if len(h):
+                    full = np.flatnonzero(n)
+                    first = (np.cumsum(n) - n)[full]
+                    k1[full], k2[full] = np.add.reduceat(mix(h), first), np.add.reduceat(mix(h ^ _U(0xA5A5A5A5A5A5A5A5)), first)
+                part = b.slice(lo, hi - lo)
+                yield pa.record_batch([*part.columns, pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], [*names, "n", "k1", "k2"])
+
+    return rows.mapInArrow(key, StructType([*rows.schema, *StructType.fromDDL("n long, k1 long, k2 long")]))
+
+
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id and the sorted set as bytes."""
 

@@ -38,6 +38,18 @@ def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_rows_without_an_id(spark):
+    """Null-id rows are decided and kept one by one."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (7, text(3)), (8, text(4)), (8, text(4)), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    want = [(None, ""), (None, text(1)), (None, text(2)), (7, text(3)), (8, text(4))]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    mixed = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixing_stage(spark, spark.createDataFrame(out.collect(), out.schema), SF).collect())
+    assert mixed == {x: 1 for x in want if x[1]}
+
+
 def test_pieces_are_returned(spark):
     import public_tokenizers
     import sentencepiece
