@@ -5,8 +5,9 @@ text has one state for each number of characters by which a piece may reach over
 it. A chunk's transfer matrix holds, for each pair of states at its two ends, the
 best score of the pieces between; matrices are combined associatively (a tree of
 max-plus products), which gives the best state at every boundary; each chunk is
-then traced back on its own. `encode_scan` is this; its result has the library's
-score and, where the best path is unique, the library's pieces.
+then traced back on its own. `Lattice.encode` is this, as a loop of one process; its
+result has the library's score and, where the best path is unique, the library's
+pieces. `pieces` does not use it: unigram files go to the library, like BPE ones.
 
 BPE models, such as the public one here, do not take the best-scoring
 segmentation, so max-plus cannot give the library's ids for them. There a giant
