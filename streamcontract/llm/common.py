@@ -114,6 +114,30 @@ def runs(at: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def slices(data: np.ndarray, at: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the texts with those over `limit` bytes cut in front of white space, and the text of each slice. A longer word stays whole."""
+    out, doc = [int(at[0])], []
+    long = np.diff(at) > limit
+    if not long.any():
+        return at, np.arange(len(at) - 1)
+    for i in range(len(at) - 1):
+        end = int(at[i + 1])
+        if long[i]:
+            place = out[-1] + limit
+            while place < end:
+                near = WHITE[data[place : min(end, place + (1 << 16))]]
+                if near.any():
+                    place += int(near.argmax())
+                    out.append(place)
+                    doc.append(i)
+                    place += limit
+                else:
+                    place += len(near)
+        out.append(end)
+        doc.append(i)
+    return np.array(out, np.int64), np.array(doc, np.int64)
+
+
 # ---------------------------------------------------------------- word hashes
 
 WHITE = np.zeros(256, bool)

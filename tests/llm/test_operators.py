@@ -216,31 +216,69 @@ def corpus():
     return list(enumerate(texts))
 
 
-def test_hmm_base_and_counts(spark):
-    rows = corpus()
-    got = {r.doc_id: r for r in hmm.language_model(made(spark, rows), rounds=2).collect()}
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+def plain_likelihood(h, flat):
+    """Forward recursion in logarithms, one symbol after the other."""
+    total, v = 0.0, h.start
+    for i, x in enumerate(flat):
+        v = (v if i == 0 else h.move.T @ v) * h.emit[x]
+        total += math.log(v.sum())
+        v = v / v.sum()
+    return total
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_hmm(spark, monkeypatch, small):
+    """All columns against one loop over the texts, with the words' counts gathered plainly; small: sliced texts, many segments, few frequent words."""
+    if small:
+        monkeypatch.setattr(hmm, "SLICE", 200)
+        monkeypatch.setattr(hmm, "ROW_BYTES", 1000)
+    options = {"frequent": 20, "segment": 16} if small else {}
+    models = []
+    train = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda rows, letters, **x: models.append((letters, train(rows, letters, **x))) or models[-1][1])
+    rows = [*corpus(), (10, corpus()[3][1]), (10, corpus()[3][1]), (None, "a b"), (11, None)]
+    got = hmm.language_model(made(spark, rows), rounds=2, **options).collect()
+    letters, h = models[0]
+    assert h.emit.sum(0) == pytest.approx(np.ones(hmm.STATES))
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     counts = Counter()
     for i, t in rows:
         if not held(i):
             counts.update([*words(t), b"\n"])
     n, v = sum(counts.values()), len(counts)
+    want = []
     for i, t in rows:
         tokens = [*words(t), b"\n"]
         base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(tokens), sum(counts[w] > 0 for w in tokens), n)
-        assert r.base_score == pytest.approx(base)
-        assert r.score < 0
-    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+        score = 0.0
+        flat = []
+        for w in words(t):
+            import pyarrow as pa
+
+            x = Words(*utf8(pa.array([w.decode()])), 0, 1)
+            s = int(letters.of(x.hash, hmm._class(x))[0])
+            flat.append(s)
+            if s >= letters.rest:
+                u, c = letters.unseen[s - letters.rest], letters.count[s]
+                score += math.log10((1 - u) * counts[w] / c if counts[w] else u)
+            else:
+                assert counts[w] == letters.count[s]
+        score += plain_likelihood(h, [*flat, hmm.END]) / math.log(10)
+        want.append((i, held(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 5), round(score, 5)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got), key=key) == [pytest.approx(x) for x in sorted(want, key=key)]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_hmm_empty(spark):
     assert hmm.language_model(made(spark, [])).count() == 0
+    none = hmm.language_model(made(spark, [(None, "a b")])).collect()  # no training rows
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in none] == [(3, 0, 0)]
 
 
 def small_hmm(k=3, symbols=5):
     rng = np.random.default_rng(4)
-    emit = rng.dirichlet(np.ones(symbols), k).T
-    emit[hmm.UNKNOWN] = 0
-    return hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), emit / emit.sum(0))
+    return hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(symbols), k).T)
 
 
 def brute_paths(h, seq):
@@ -253,23 +291,30 @@ def brute_paths(h, seq):
         yield path, p
 
 
-def test_forward_is_exact():
+SEQUENCES = [[0], [2, 3, 4, 0], [4, 4], [3, 2, 2, 4, 3], [1, 2, 3, 4, 1, 2, 0]]
+
+
+@pytest.mark.parametrize("segment", [1, 2, 3, 100])
+def test_forward_is_exact(segment):
     h = small_hmm()
-    seqs = [np.array(s) for s in ([0], [2, 3, 4, 0], [4, 4], [3, 2, 2, 4, 3])]
-    got = hmm.log_likelihood(h, np.concatenate(seqs), np.array([len(s) for s in seqs]), 1e-12)
-    for s, g in zip(seqs, got, strict=True):
+    h.segment = segment
+    got = hmm.log_likelihood(h, np.concatenate(SEQUENCES), np.array([len(s) for s in SEQUENCES]))
+    for s, g in zip(SEQUENCES, got, strict=True):
         assert math.exp(g) == pytest.approx(sum(p for _, p in brute_paths(h, s)), rel=1e-6)
+        op, log = hmm.whole_operator(h, np.array(s))
+        assert math.log((op @ h.start).sum()) + log == pytest.approx(g)
 
 
-def test_baum_welch_counts():
+@pytest.mark.parametrize("segment", [1, 2, 3, 100])
+def test_baum_welch_counts(segment):
+    """Counts of whole texts, whatever the segments."""
     h = small_hmm()
-    seqs = [[2, 3, 0], [4, 0], [3, 3, 2, 0]]
-    seg = np.full((3, 4), -1)
-    for i, s in enumerate(seqs):
-        seg[i, : len(s)] = s
-    start, moved, seen = hmm.expected_counts(h, seg, np.ones(3, bool))
+    m = len(SEQUENCES)
+    cut = hmm.Cut.of(np.concatenate(SEQUENCES), np.array([len(s) for s in SEQUENCES]), segment)
+    yes = np.ones(m, bool)
+    start, moved, seen = hmm.expected_counts(h, cut, np.tile(h.start, (m, 1)), np.ones((m, 3)), yes, yes)
     a, b, c = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
-    for s in seqs:
+    for s in SEQUENCES:
         total = sum(p for _, p in brute_paths(h, s))
         for path, p in brute_paths(h, s):
             a[path[0]] += p / total
@@ -281,6 +326,19 @@ def test_baum_welch_counts():
         np.testing.assert_allclose(x, y, atol=1e-4)
 
 
+def test_slices_cut_at_white_space():
+    import pyarrow as pa
+
+    from streamcontract.llm.common import slices
+
+    texts = ["a bb ccc dddd", "", None, "x" * 50, "y " * 30]
+    data, at = utf8(pa.array(texts))
+    cuts, doc = slices(data, at, 5)
+    parts = [bytes(data[a:b]).decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert ["".join(p for p, d in zip(parts, doc, strict=True) if d == i) for i in range(5)] == [t or "" for t in texts]
+    assert [w for p in parts for w in p.split()] == [w for t in texts for w in (t or "").split()]
+
+
 # ---------------------------------------------------------------- 6
 
 
