@@ -551,24 +551,54 @@ def test_shots():
 # ---------------------------------------------------------------- 9
 
 
-def test_pieces(spark):
+def library(proto):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    texts = [*odd_texts(), "a  b   c " * 50, "▁ x ▁y"]
-    p = pieces.Pieces(MODEL, chunk=64)
-    assert p.proven
-    for t in texts:
-        ids = sp.encode(t or "")
-        assert p.encode(t or "") == ids, repr(t)
-        assert p.decode(ids) == sp.decode(ids)
-    got = {r.doc_id: r for r in pieces.pieces(made(spark, list(enumerate(texts))), MODEL, chunk=64, keep_ids=True).collect()}
-    for i, t in enumerate(texts):
-        ids = sp.encode(t or "")
-        assert got[i].ids == ids
-        assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<i4").tobytes())
-        assert got[i].round_trip == (sp.decode(ids) == (t or ""))
-    assert pieces.pieces(made(spark, []), MODEL).count() == 0
+    return sentencepiece.SentencePieceProcessor(model_proto=pieces.unigram_proto(proto))
+
+
+def test_the_public_file_as_unigram():
+    sp, bpe = library(pieces.public_model()), pieces.public_model()
+    assert pieces.unigram_proto(pieces.unigram_proto(bpe)) == pieces.unigram_proto(bpe)
+    import sentencepiece
+
+    old = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert [sp.id_to_piece(i) for i in range(32000)] == [old.id_to_piece(i) for i in range(32000)]
+    assert sp.is_byte(3) and sp.is_control(1) and sp.is_unknown(0) and sp.unk_id() == 0
+    plain = sorted((i for i in range(259, 32000)), key=lambda i: (-old.get_score(i), i))
+    assert [sp.get_score(i) for i in plain] == [-round(32 * math.log(1 + r)) / 32 for r in range(1, len(plain) + 1)]
+
+
+def test_pieces(spark):
+    """Every text's ids are the library's; chunk=64: by the scan."""
+    sp = library(pieces.public_model())
+    texts = [*odd_texts(), "a  b   c " * 50, "\u2581 x \u2581y", "ab" * 4000, "\U0001f9ff\u0378 x" * 90, "x" * 64, "y" * 65]
+    for chunk in (64, pieces.CHUNK):
+        got = {r.doc_id: r for r in pieces.pieces(made(spark, [*enumerate(texts), (None, texts[-3])]), pieces.public_model(), chunk=chunk).collect()}
+        assert got[None].ids == got[len(texts) - 3].ids
+        for i, t in enumerate(texts):
+            ids = sp.encode(t or "")
+            if chunk == pieces.CHUNK:
+                assert got[i].ids == ids, repr(t)
+            assert sum(map(sp.get_score, got[i].ids)) == sum(map(sp.get_score, ids)), repr(t)
+            assert got[i].n_pieces == len(got[i].ids)
+            assert got[i].ids_crc32 == zlib.crc32(np.array(got[i].ids, "<i4").tobytes())
+            assert sp.decode(got[i].ids) == sp.decode(ids)
+            assert got[i].decoded_crc32 == zlib.crc32(sp.decode(ids).encode())
+            assert got[i].round_trip == (sp.decode(ids) == (t or ""))
+    assert pieces.pieces(made(spark, []), pieces.public_model()).count() == 0
+
+
+def test_pieces_of_a_table(spark):
+    """All documents, long ones by the scan: the library's ids."""
+    sp = library(pieces.public_model())
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.ids for r in pieces.pieces(made(spark, [tuple(r) for r in rows]), pieces.public_model(), chunk=200).collect()}
+    differ = [r for r in rows if got[r.doc_id] != sp.encode(r.text or "")]
+    assert len(differ) <= 5
+    for r in differ:  # another of several best paths
+        assert sum(map(sp.get_score, got[r.doc_id])) == sum(map(sp.get_score, sp.encode(r.text)))
+    assert max(len(r.text or "") for r in rows) > 64 * 200  # two levels of products
 
 
 def unigram_model(vocabulary):
@@ -594,25 +624,58 @@ def unigram_model(vocabulary):
     return out + field(2, 2, field(3, 0, varint(1))) + field(3, 2, field(1, 2, b"identity") + field(3, 0, varint(1)))
 
 
-def test_max_plus_scan_equals_the_library():
-    rng = random.Random(10)
-    vocabulary = {c: -8.0 - 0.01 * i for i, c in enumerate("abcd▁")}
+def some_unigram(rng, letters="abcd"):
+    vocabulary = {c: -8.0 - 0.01 * i for i, c in enumerate(letters + "\u2581")}
     while len(vocabulary) < 60:
-        t = "".join(rng.choice("abcd▁") for _ in range(rng.randint(2, 7)))
+        t = "".join(rng.choice(letters + "\u2581") for _ in range(rng.randint(2, 7)))
         vocabulary.setdefault(t, -rng.uniform(4, 30))
-    p = pieces.Pieces(proto=unigram_model(vocabulary))
-    lattice = p.lattice()
+    return unigram_model(vocabulary)
+
+
+def scan(u, text, chunk):
+    """The scan as one process's loop."""
+    n = max(1, len(text) // max(chunk, u.reach))
+    at = [len(text) * i // n for i in range(n + 1)]
+    ms = [u.transfer(pieces.points([text[a : b + u.reach - 1]])[0], b - a) for a, b in zip(at[:-1], at[1:], strict=True)]
+    whole = ms[0]
+    for m in ms[1:]:
+        whole = pieces.max_plus(whole, m)
+    return whole[0, 0]
+
+
+def test_max_plus_scan_equals_the_library(spark):
+    """A model with pieces over spaces and letters alike, and unknown characters without byte pieces."""
+    rng = random.Random(10)
+    proto = some_unigram(rng)
+    u = pieces.Unigram(proto)
+    texts = []
     for seed in range(40):
         rng.seed(seed)
-        text = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 400))).strip()
-        normal = p.normalise(text)
-        want = p.sp.encode(text)
-        assert lattice.encode(normal) == want
-        total = lambda ids: sum(map(p.sp.get_score, ids))
-        for chunk in (lattice.reach, 16, 37):  # equal scores: runs of a letter have several best paths
-            got = lattice.encode(normal, chunk)
-            assert "".join(p.names[i] for i in got) == normal
-            assert total(got) == pytest.approx(total(want), abs=1e-6), (text, chunk)
+        texts.append("".join(rng.choice("abcd " if seed % 4 else "abcdxy ") for _ in range(rng.randint(0, 400))).strip())
+    total = lambda ids: sum(map(u.sp.get_score, ids))
+    got = {r.doc_id: r.ids for r in pieces.pieces(made(spark, list(enumerate(texts))), proto, chunk=20).collect()}
+    ids, sizes, scores = u.encode(*u.codes(texts))
+    for i, (t, part) in enumerate(zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True)):
+        want = u.sp.encode(t)
+        assert part.tolist() == want
+        if not set("xy") & set(t):
+            assert scores[i] == pytest.approx(total(want), abs=1e-3)
+            assert "".join(u.sp.id_to_piece(k) for k in got[i]) == u.sp.normalize(t)
+        assert total(got[i]) == pytest.approx(total(want), abs=1e-3), (t, got[i], want)
+        for chunk in (u.reach, 16, 37):
+            if t:
+                assert scan(u, u.sp.normalize(t), chunk) == pytest.approx(scores[i])
+
+
+def test_many_chunks(spark):
+    """Three levels of products; nothing but the scan can part this text."""
+    rng = random.Random(3)
+    proto = some_unigram(rng, "ab")
+    text = "".join(rng.choice("ab") for _ in range(64 * 64 * 7 + 500))
+    u = pieces.Unigram(proto)
+    r = pieces.pieces(made(spark, [(1, text)]), proto, chunk=7).collect()[0]
+    assert sum(u.score[r.ids]) == pytest.approx(u.encode(*u.codes([text]))[2][0])
+    assert r.round_trip
 
 
 def test_max_plus_is_associative():

@@ -51,10 +51,11 @@ def test_rows_without_an_id(spark):
 
 
 def test_pieces_are_returned(spark):
-    import public_tokenizers
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    from streamcontract.llm import pieces
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=pieces.unigram_proto(pieces.public_model()))
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(20)
     want = {r.doc_id: sp.encode(r.text or "") for r in docs.collect()}
     assert {r.doc_id: r.ids for r in corpus_pipeline.pieces_stage(spark, docs, SF).collect()} == want
