@@ -72,9 +72,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each row's whole text."""
-    import public_tokenizers
-
-    return pieces.pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
+    return pieces.pieces(docs, pieces.public_model())
 
 
 STAGES = [
