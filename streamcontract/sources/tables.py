@@ -17,18 +17,70 @@ class ConflictError(RuntimeError):
     """Another writer has changed the table."""
 
 
+class Versions:
+    """Numbered pointers <path>/versions/<n>, each one line.
+
+    A pointer is written whole under another name and then renamed without overwriting:
+    readers see it complete or not at all, a writer that dies in between leaves nothing
+    that counts, and of two writers of one number the second gets a ConflictError
+    (as surely as the file system's rename is atomic).
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        sc = spark.sparkContext
+        self._hadoop, self._gateway = sc._jvm.org.apache.hadoop.fs, sc._gateway
+        self._conf = sc._jsc.hadoopConfiguration()
+        self.at = lambda *x: self._hadoop.Path("/".join([path, *x]))
+        self.path, self.fs = path, self.at().getFileSystem(self._conf)
+
+    def all(self) -> list[int]:
+        at = self.at("versions")
+        return sorted(int(x.getPath().getName()) for x in self.fs.listStatus(at) if x.getPath().getName().isdigit()) if self.fs.exists(at) else []
+
+    def latest(self) -> int:
+        return max(self.all(), default=0)
+
+    def get(self, version: int) -> str:
+        stream = self.fs.open(self.at("versions", str(version)))
+        try:
+            return stream.readLine() or ""
+        finally:
+            stream.close()
+
+    def write(self, line: str) -> object:
+        """The line as a file that is no version yet."""
+        at = self.at("versions", f".{uuid.uuid4().hex}")
+        stream = self.fs.create(at, False)
+        try:
+            stream.writeBytes(line)
+        finally:
+            stream.close()
+        return at
+
+    def publish(self, version: int, line: str) -> int:
+        written = self.write(line)
+        never = getattr(self._hadoop, "Options$Rename")
+        how = self._gateway.new_array(never, 1)
+        how[0] = never.NONE
+        try:
+            self._hadoop.FileContext.getFileContext(written.toUri(), self._conf).rename(written, self.at("versions", str(version)), how)
+        except Py4JJavaError as e:
+            self.fs.delete(written, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                raise ConflictError(f"version {version} of {self.path} is there") from e
+            raise
+        return version
+
+
 class Table:
     """Rows in <path>/data/<name>; <path>/versions/<n> holds that name."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, partition: tuple[str, ...] = ()) -> None:
         self.spark, self.path, self.schema, self.partition = spark, path, schema, partition
-        jvm = spark.sparkContext._jvm
-        self._p = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join([path, *x]))
-        self._fs = self._p().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.versions = Versions(spark, path)
 
     def version(self) -> int:
-        at = self._p("versions")
-        return max((int(x.getPath().getName()) for x in self._fs.listStatus(at) if x.getPath().getName().isdigit()), default=0) if self._fs.exists(at) else 0
+        return self.versions.latest()
 
     def create(self) -> Table:
         """Makes an empty table where there is none."""
@@ -45,13 +97,7 @@ class Table:
         return out
 
     def _names(self, version: int) -> list[str]:
-        if not version:
-            return []
-        stream = self._fs.open(self._p("versions", str(version)))
-        try:
-            return stream.readLine().split(",")
-        finally:
-            stream.close()
+        return self.versions.get(version).split(",") if version else []
 
     def _write(self, df: DataFrame) -> str:
         name = uuid.uuid4().hex
@@ -61,13 +107,7 @@ class Table:
 
     def _commit(self, df: DataFrame, base: int, also: list[str] | None = None) -> int:
         name = self._write(df)
-        try:
-            stream = self._fs.create(self._p("versions", str(base + 1)), False)
-        except Py4JJavaError as e:
-            raise ConflictError(f"{self.path} has changed") from e
-        stream.writeBytes(",".join([*(also or []), name]))
-        stream.close()
-        return base + 1
+        return self.versions.publish(base + 1, ",".join([*(also or []), name]))
 
     def append(self, df: DataFrame, compact_after: int = 32) -> int:
         """Adds rows: writes only them, and every `compact_after` appends the whole table as one folder."""

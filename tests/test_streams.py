@@ -278,3 +278,27 @@ def test_loaders(spark, tmp_path):
         loaders.first_of(loaders.no_loader, loaders.mapping_loader({}))("x")
     assert loaders.standard(spark)("http://json-schema.org/draft-07/schema#")["$id"].endswith("schema#")
     assert loaders.resolve_relative("http://x/a/b", "../c") == "http://x/c"
+
+
+def test_a_dead_writer_leaves_the_table(spark, tmp_path, monkeypatch):
+    """A writer that stops before its version is published; other errors are no conflicts."""
+    from streamcontract.sources import tables
+
+    t = Table(spark, str(tmp_path / "t"), "a int").create()
+    t.append(spark.createDataFrame([(1,)], "a int"))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    for name in ("write", "publish"):
+        with monkeypatch.context() as m:
+            m.setattr(tables.Versions, name, die)
+            with pytest.raises(KeyboardInterrupt):
+                t.append(spark.createDataFrame([(2,)], "a int"))
+        assert [r.a for r in t.read().collect()] == [1]
+    t.append(spark.createDataFrame([(3,)], "a int"))
+    assert sorted(r.a for r in t.read().collect()) == [1, 3]
+    (tmp_path / "f").write_text("a file")
+    with pytest.raises(Exception) as other:
+        tables.Versions(spark, str(tmp_path / "f")).publish(1, "x")
+    assert not isinstance(other.value, ConflictError)
