@@ -6,42 +6,51 @@ hold the rows of one manifest each, versions/<n> names the manifest of version n
  * `append` writes arrivals as small shards, one run an arrival, without a shuffle:
    each task writes what it has read, one file for each arrival in it.
  * `compact` puts the runs of the present version into tiers by size (a tier spans a
-   factor of `fan_in`); a tier with `fan_in` runs or more is merged into one run of
-   files of about `target` bytes, without a shuffle (whole shards are coalesced).
-   Runs whose files have reached the target are sealed and never read again.
-   This repeats until no tier is full, so a row is rewritten about
-   log(size / smallest) times to base fan_in.
- * `commit` writes the manifest rows under a new name and then creates versions/<n>
-   exclusively: of two writers one fails, and readers see either version whole.
+   factor of `fan_in`); a tier with `fan_in` runs or more is merged into one run without
+   a shuffle: whole files, the largest first, are packed into tasks of up to `target`
+   bytes, and a task writes one file. Runs whose files have reached the target are
+   sealed and never read again. This repeats until no tier is full, so a row is
+   rewritten about log(size / smallest) times to base fan_in.
+ * `commit` writes the manifest rows under a new name and then publishes versions/<n>
+   by a rename that does not overwrite: of two writers one gets a ConflictError, a
+   writer that dies leaves the version before, and readers see either version whole.
 
 A row of the manifest is a shard: run, file, rows, bytes, tier, least and greatest
-id, and an order-free checksum of the rows' ids. Runs that no version later than `keep_versions` ago
-names are removed by `vacuum`. A failed job leaves only unnamed runs.
+id, and an order-free checksum of the rows' ids. `vacuum` removes runs that no version later
+than `keep_versions` ago names and that are older than `grace` seconds, so what another
+writer is about to commit stays. A failed job leaves only unnamed runs.
 
 Cases: an empty table commits a version without shards; nulls, empty and very long
-texts and repeated rows are stored as they are; all columns of the table are kept;
-a column named like `arrival` is not touched, as the arrival is a column of its own
-name (`__arrival`).
+texts and repeated rows are stored as they are; all columns of the table are kept
+whatever their names: the arrival's and the file's columns get names that the table
+does not have.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamcontract.llm.common import shared_dir, table
+from streamcontract.sources.tables import ConflictError, Versions
 
-TARGET, FAN_IN, SMALLEST = 64 << 20, 4, 64 << 10
-ARRIVAL = "__arrival"
+TARGET, FAN_IN, SMALLEST, GRACE = 64 << 20, 4, 64 << 10, 24 * 3600.0
 SHARDS = "run string, file string, rows long, bytes long, tier int, first_id long, last_id long, checksum decimal(38,0)"
 
 
-class ConflictError(RuntimeError):
-    """Another writer has committed this version."""
+__all__ = ["ConflictError", "Store", "op4_sharding", "shard"]
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """name, or one like it that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Store:
@@ -49,43 +58,29 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, id_column: str = "doc_id", target: int = TARGET, fan_in: int = FAN_IN) -> None:
         self.spark, self.path, self.id_column, self.target, self.fan_in = spark, path, id_column, target, fan_in
-        jvm = spark.sparkContext._jvm
-        self._path = lambda *x: jvm.org.apache.hadoop.fs.Path("/".join([path, *x]))
-        self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._versions = Versions(spark, path)
+        self._path, self._fs = self._versions.at, self._versions.fs
 
     # ------------------------------------------------------------ versions
 
     def versions(self) -> list[int]:
-        at = self._path("versions")
-        return sorted(int(x.getPath().getName()) for x in self._fs.listStatus(at) if x.getPath().getName().isdigit()) if self._fs.exists(at) else []
+        return self._versions.all()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """The shards of a version, the latest by default."""
-        known = self.versions()
-        if not known:
+        version = self._versions.latest() if version is None else version
+        if not version:
             return self.spark.createDataFrame([], SHARDS)
-        version = known[-1] if version is None else version
-        stream = self._fs.open(self._path("versions", str(version)))
-        try:
-            name = stream.readLine()
-        finally:
-            stream.close()
-        return self.spark.read.schema(SHARDS).parquet(f"{self.path}/manifests/{name}")
+        return self.spark.read.schema(SHARDS).parquet(f"{self.path}/manifests/{self._versions.get(version)}")
 
     def commit(self, shards: DataFrame, base: int) -> int:
         """Makes shards version base + 1; ConflictError if that version is there."""
         name = uuid.uuid4().hex
         shards.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
-        try:
-            stream = self._fs.create(self._path("versions", str(base + 1)), False)
-        except Py4JJavaError as e:
-            raise ConflictError(f"version {base + 1} is there") from e
-        stream.writeBytes(name)
-        stream.close()
-        return base + 1
+        return self._versions.publish(base + 1, name)
 
     def _latest(self) -> int:
-        return max(self.versions(), default=0)
+        return self._versions.latest()
 
     # ------------------------------------------------------------ runs
 
@@ -95,8 +90,8 @@ class Store:
     def _describe(self, folder: str, run: Column) -> DataFrame:
         """Manifest rows of the files below a folder, from ids and file metadata alone."""
         df = self.spark.read.parquet(f"{self.path}/runs/{folder}")
-        name = _below_runs(F.col("_metadata.file_path"))
-        by = df.select(F.col(self.id_column).alias("id"), F.col("_metadata.file_path").alias("path"), name.alias("file"), F.col("_metadata.file_size").alias("size"))
+        of = df.metadataColumn("_metadata")
+        by = df.select(F.col(self.id_column).alias("id"), of["file_path"].alias("path"), _below_runs(of["file_path"]).alias("file"), of["file_size"].alias("size"))
         shards = by.groupBy("path", "file").agg(F.count("*").alias("rows"), F.max("size").alias("bytes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("checksum"))
         shards = shards.withColumn("run", run)
         whole = shards.groupBy("run").agg(F.sum("bytes").alias("whole"))
@@ -106,7 +101,8 @@ class Store:
     def append(self, df: DataFrame, arrival: Column | None = None) -> int:
         """Adds rows as small shards, one run for each value of `arrival`, and commits."""
         base, name = self._latest(), uuid.uuid4().hex
-        df.withColumn(ARRIVAL, F.lit(0) if arrival is None else arrival).write.partitionBy(ARRIVAL).parquet(f"{self.path}/runs/{name}")
+        column = free_name("__arrival", df)
+        df.withColumn(column, F.lit(0) if arrival is None else arrival).write.partitionBy(column).parquet(f"{self.path}/runs/{name}")
         if not self._has_rows(name):
             return self.commit(self.manifest(), base)
         part = F.element_at(F.split("path", "/"), -2)
@@ -132,14 +128,20 @@ class Store:
             after = shards.join(self.spark.createDataFrame([(r["run"],) for r in chosen], "run string"), "run", "left_anti")
             for rows in names.values():
                 name = uuid.uuid4().hex
-                size = sum(r["bytes"] for r in rows)
-                merged = self.spark.read.parquet(*(f"{self.path}/runs/{r['run']}" for r in rows))
-                merged.coalesce(max(1, round(size / self.target))).write.parquet(f"{self.path}/runs/{name}")
+                self._packing().read.parquet(*(f"{self.path}/runs/{r['run']}" for r in rows)).write.parquet(f"{self.path}/runs/{name}")
                 after = after.unionByName(self._describe(name, F.lit(name)))
             self.commit(after, base)
 
-    def vacuum(self, keep_versions: int = 1) -> list[str]:
-        """Removes runs and manifests that none of the last versions names."""
+    def _packing(self) -> SparkSession:
+        """A session whose scans fill each task with whole files of up to `target` bytes together."""
+        session = self.spark.newSession()
+        for name, value in (("maxPartitionBytes", self.target), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            session.conf.set(f"spark.sql.files.{name}", value)
+        return session
+
+    def vacuum(self, keep_versions: int = 1, grace: float = GRACE) -> list[str]:
+        """Removes runs and manifests that none of the last versions names and that have not changed for `grace` seconds."""
+        until = (time.time() - grace) * 1000
         alive: set[str] = set()
         known = self.versions()
         for v in known[-keep_versions:]:
@@ -150,23 +152,30 @@ class Store:
             name = x.getPath().getName()
             inner = [name] if name in alive else [f"{name}/{y.getPath().getName()}" for y in self._fs.listStatus(x.getPath()) if y.isDirectory()]
             for y in inner:
-                if y not in alive:
+                if y not in alive and self._changed(y) <= until:
                     self._fs.delete(self._path("runs", y), True)
                     gone.append(y)
-            if name not in alive and not any(y in alive for y in inner):
+            if name not in alive and not any(y in alive for y in inner) and self._changed(name) <= until:
                 self._fs.delete(x.getPath(), True)
         for v in known[:-keep_versions]:
+            self._fs.delete(self._path("manifests", self._versions.get(v)), True)
             self._fs.delete(self._path("versions", str(v)), False)
         return gone
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the columns run, file (of the shard) beside those of the table."""
+    def _changed(self, run: str) -> float:
+        """When the run's folder, or one below it, changed last, in milliseconds."""
+        at = self._path("runs", run)
+        inner = [x.getModificationTime() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max([self._fs.getFileStatus(at).getModificationTime(), *inner]) if self._fs.exists(at) else 0.0
+
+    def read(self, version: int | None = None, file_column: str | None = None) -> DataFrame:
+        """The rows of a version; with their shard's name (run/file) in a column of this name if it is given."""
         shards = self.manifest(version)
         names = [r["run"] for r in shards.select("run").distinct().orderBy("run").collect()]  # one row a run
         if not names:
             raise ValueError("the store has no rows")
         df = self.spark.read.parquet(*(f"{self.path}/runs/{x}" for x in names))
-        return df.select("*", _below_runs(F.col("_metadata.file_path")).alias("__file"))
+        return df if file_column is None else df.select("*", _below_runs(df.metadataColumn("_metadata")["file_path"]).alias(file_column))
 
 
 def _below_runs(path: Column) -> Column:
@@ -179,7 +188,7 @@ def shard(df: DataFrame, path: str, *, arrivals: int = 8, id_column: str = "doc_
     store = Store(df.sparkSession, path, id_column, target, fan_in)
     store.append(df, F.floor(F.sqrt(F.pmod(F.xxhash64(id_column), F.lit(arrivals * arrivals)))).cast("int"))
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=0)  # nobody else knows the store yet
     return store
 
 
@@ -188,6 +197,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shard(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     if not store.manifest().limit(1).count():
         return spark.createDataFrame([], "doc_id long, n_bytes long, shard string, shard_rows long, shard_bytes long, tier int, version int")
-    shards = store.manifest().select(F.col("file").alias("__file"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier")
-    rows = store.read().select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "__file")
-    return rows.join(shards, "__file").select("doc_id", "n_bytes", F.col("__file").alias("shard"), "shard_rows", "shard_bytes", "tier", F.lit(store.versions()[-1]).alias("version"))
+    shards = store.manifest().select("file", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "tier")
+    name = free_name("file", store.read())
+    rows = store.read(file_column=name).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col(name).alias("file"))
+    return rows.join(shards, "file").select("doc_id", "n_bytes", F.col("file").alias("shard"), "shard_rows", "shard_bytes", "tier", F.lit(store.versions()[-1]).alias("version"))

@@ -199,7 +199,8 @@ def test_sharding(spark, tmp_path):
     before = len({r["run"] for r in s.manifest().collect()})
     s.compact()
     assert len({r["run"] for r in s.manifest().collect()}) < before
-    s.vacuum()
+    assert s.vacuum() == []  # nothing is old enough
+    s.vacuum(grace=0)
     assert s.read().count() == 507
     with pytest.raises(sharding.ConflictError):
         s.commit(s.manifest(), s.versions()[-1] - 1)
@@ -207,6 +208,84 @@ def test_sharding(spark, tmp_path):
     assert empty.manifest().count() == 0
 
 
+def test_sharding_keeps_all_columns(spark, tmp_path):
+    """Columns named like the store's own."""
+    df = spark.createDataFrame([(1, "a", 5, "f", "g", "m"), (None, None, None, None, None, None)], "doc_id long, text string, __arrival int, __file string, file string, _metadata string")
+    s = sharding.shard(df, str(tmp_path / "a"), arrivals=2)
+    assert sorted(map(tuple, s.read(file_column="x").drop("x").select(df.columns).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in sharding.op4_sharding(spark, str(tmp_path)).collect()} == {1, None}
+
+
+def test_sharding_writers(spark, tmp_path, monkeypatch):
+    """Of two writers one fails; one that dies at any step leaves the version before, and the next one goes on."""
+    path = str(tmp_path / "a")
+    one, two = sharding.Store(spark, path), sharding.Store(spark, path)
+    one.append(made(spark, [(1, "a")]))
+    late = two.manifest()
+    one.append(made(spark, [(2, "b")]))
+    with pytest.raises(sharding.ConflictError):
+        two.commit(late, 1)
+
+    class Died(Exception):
+        pass
+
+    def die(*_):
+        raise Died
+
+    for step in (lambda m: m.setattr(sharding.Store, "commit", die), lambda m: m.setattr(sharding.Versions, "write", die), lambda m: m.setattr(sharding.Versions, "publish", lambda self, n, line: (self.write(line), die()))):
+        with monkeypatch.context() as m:
+            step(m)
+            with pytest.raises(Died):
+                two.append(made(spark, [(3, "c")]))
+        assert one.versions() == [1, 2] and one.read().count() == 2
+    two.append(made(spark, [(4, "d")]))
+    assert sorted(r.doc_id for r in one.read().collect()) == [1, 2, 4]
+    assert one.vacuum() == []  # what is not old may still be committed
+    assert len(one.vacuum(grace=0)) == 3
+    assert one.read().count() == 3
+    with pytest.raises(Exception, match="(?i)denied|directory|exist|mkdirs") as other:  # no conflict, another error
+        (tmp_path / "b").write_text("a file")
+        sharding.Versions(spark, str(tmp_path / "b")).publish(1, "x")
+    assert not isinstance(other.value, sharding.ConflictError)
+
+
+def test_tiers_by_brute_force(spark, tmp_path):
+    """Runs and tiers after each append and compaction equal a simulation; merged files have about the target's size."""
+    rng = np.random.default_rng(5)
+    s = sharding.Store(spark, str(tmp_path / "a"), target=100_000, fan_in=3)
+    for i in range(8):
+        text = lambda: rng.bytes(600).hex()
+        s.append(made(spark, [(i * 1000 + k, text()) for k in range(int(rng.integers(20, 160)))]).repartition(3))
+        runs = {}
+        for r in s.manifest().collect():
+            runs.setdefault((r.run, r.tier), []).append(r.bytes)
+        for (_, tier), sizes in runs.items():
+            assert tier == max(0, math.floor(math.log(sum(sizes) / sharding.SMALLEST, 3)))
+        loose = Counter(t for (_, t), sizes in runs.items() if np.mean(sizes) < 50_000)
+        before = {name for name, _ in runs}
+        s.compact()
+        after = {r.run for r in s.manifest().collect()}
+        for (name, tier), sizes in runs.items():
+            assert (name in after) == (loose[tier] < 3 or np.mean(sizes) >= 50_000)
+        assert (after != before) == any(n >= 3 for n in loose.values())
+        again = Counter(t for (_, t), sizes in _runs(s).items() if np.mean(sizes) < 50_000)
+        assert all(n < 3 for n in again.values())
+    merged = [sizes for (name, _), sizes in _runs(s).items() if "/" not in name and sum(sizes) > 200_000]
+    assert merged
+    for sizes in merged:
+        assert max(sizes) < 1.4 * 100_000 and np.median(sizes) > 0.5 * 100_000
+    ids = [r.doc_id for r in s.read().collect()]
+    assert len(ids) == len(set(ids)) == sum(r["rows"] for r in s.manifest().collect())
+
+
+def _runs(store):
+    out = {}
+    for r in store.manifest().collect():
+        out.setdefault((r.run, r.tier), []).append(r.bytes)
+    return out
+
+
 # ---------------------------------------------------------------- 5
 
 
