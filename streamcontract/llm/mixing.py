@@ -15,9 +15,14 @@ smallest text bounds lambda from both sides; an iteration that leaves the bracke
 and each eighth one, halves it instead. They go on until every source reaches its
 target to a billionth; `solve_rates` raises if one does not.
 
-Rates become whole copies by carrying the rounding error from text to text in the
-order of falling size, in bounded groups of a source; so a group misses its share
-by about its smallest text.
+Rates become whole copies in two steps. Over a source's different sizes, the largest
+first, all texts of a size together get the whole number of copies that keeps the
+running miss least; so a source misses its target by about its smallest text. The
+copies of a size are dealt out evenly by rank: the i-th of m texts takes
+floor(i k / m) - floor((i - 1) k / m). Ranks are counted in `DEALS` groups by the id's
+hash, so that no task holds all texts of one source or size; only a source's table of
+sizes (no longer than its longest text) meets in one task. All sums that decide
+are of integers or decimals, so the order in which tasks end does not matter.
 
 Cases: null and empty texts have size 0 and are not taken; null sources are one
 source, the last; sources with no words have target 0; repeated rows are texts of
@@ -29,14 +34,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamcontract.llm.common import fresh, keep, prepare, table
 
-WEIGHTS, MOST, ROUNDS, GROUP = (1.0, 2.0, 3.0), 3, 1000, 20_000
+WEIGHTS, MOST, ROUNDS, DEALS = (1.0, 2.0, 3.0), 3, 1000, 256
+EXACT = "decimal(38,9)"  # of a word
 
 
 def word_count(text: Column) -> Column:
@@ -44,17 +49,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def ranked_sources(sizes: DataFrame) -> DataFrame:
-    """source, key, total, n, weight: one row a source. Ranks come from a range partitioning and the partitions' counts."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
-    by = keep(by.withColumn("last", F.col("source").isNull()).repartitionByRange(F.col("last"), F.col("source")).withColumn("part", F.spark_partition_id()))
+def ranked_sources(histogram: DataFrame) -> DataFrame:
+    """source, last, total, weight: one row a source. Ranks come from a range partitioning and the partitions' counts."""
+    by = histogram.groupBy("source", "last").agg(F.sum(F.col("m") * F.col("size")).alias("total"))
+    by = keep(by.repartitionByRange(F.col("last"), F.col("source")).withColumn("part", F.spark_partition_id()))
     counts = sorted((r["part"], r["count"]) for r in by.groupBy("part").count().collect())  # one row a partition
     before = dict(zip([p for p, _ in counts], np.cumsum([0, *(c for _, c in counts)])[:-1].tolist(), strict=True))
-    spark = sizes.sparkSession
+    spark = histogram.sparkSession
     offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
     rank = F.row_number().over(Window.partitionBy("part").orderBy("last", "source")) - 1 + F.col("before")
     weights = F.array(*(F.lit(w) for w in WEIGHTS))
-    return by.join(F.broadcast(offsets), "part").select("source", "last", "total", "n", F.element_at(weights, (rank % len(WEIGHTS) + 1).cast("int")).alias("weight"))
+    return by.join(F.broadcast(offsets), "part").select("source", "last", "total", F.element_at(weights, (rank % len(WEIGHTS) + 1).cast("int")).alias("weight"))
 
 
 def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
@@ -79,7 +84,8 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, most: int = MOST, roun
     Raises if a source is not at its target after `rounds` rounds, which is far more than halving alone needs.
     """
     on = ["source", "last"]
-    scale = histogram.groupBy(*on).agg((F.sum(F.col("m") * F.col("size") * F.col("size")) / F.sum(F.col("m") * F.col("size"))).alias("scale"), F.min("size").alias("least"))
+    words = F.col("m").cast("decimal(19,0)") * F.col("size")
+    scale = histogram.groupBy(*on).agg((F.sum((words * F.col("size")).cast("decimal(38,0)")).cast("double") / F.sum(words).cast("double")).alias("scale"), F.min("size").alias("least"))
     state = sources.join(scale, (sources["source"].eqNullSafe(scale["source"])) & (sources["last"] == scale["last"])).select(sources["source"], sources["last"], "total", "target", "scale", "least")
     top = math.log(most)
     # at lambda = x * scale / least all texts have a rate of at least exp(x), for x > 0, or at most that, for x < 0; the bracket is a little wider
@@ -97,7 +103,7 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, most: int = MOST, roun
         joined = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source")) & (F.col("h.last") == F.col("s.last")))
         mass = F.col("m") * F.col("size") * F.exp(e)
         sums = joined.groupBy(F.col("s.source").alias("source"), F.col("s.last").alias("last")).agg(
-            F.sum(mass).alias("reached"), F.sum(F.when(e < top, mass * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope")
+            F.sum(mass.cast(EXACT)).cast("double").alias("reached"), F.sum(F.when(e < top, mass * F.col("size") / F.col("scale")).otherwise(0.0).cast(EXACT)).cast("double").alias("slope")
         )
         t, u = state.alias("t"), sums.alias("u")
         miss = F.col("reached") - F.col("target")
@@ -118,43 +124,47 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, most: int = MOST, roun
     return state
 
 
-def round_copies(pdf: pd.DataFrame, most: int = MOST) -> pd.DataFrame:
-    """Whole copies of a group's texts: in the order of falling size each takes the copies that keep the running miss least."""
-    pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
-    size, rate = pdf["size"].to_numpy(), pdf["rate"].to_numpy()
-    copies = np.zeros(len(pdf), np.int64)
+def round_copies(size: np.ndarray, m: np.ndarray, rate: np.ndarray, most: int = MOST) -> np.ndarray:
+    """Copies of all m texts of each size together: from the largest size down, what keeps the running miss least."""
+    out = np.zeros(len(size), np.int64)
     miss = 0.0
-    for i, (s, r) in enumerate(zip(size.tolist(), rate.tolist(), strict=True)):
-        if s:
-            miss += s * r
-            c = min(most, max(0, math.floor(miss / s + 0.5)))
-            copies[i] = c
-            miss -= c * s
-    return pdf.assign(copies=copies)
+    for i in np.argsort(-size, kind="stable").tolist():
+        if s := float(size[i]):
+            miss += float(m[i]) * rate[i] * s
+            out[i] = min(most * int(m[i]), max(0, math.floor(miss / s + 0.5)))
+            miss -= float(out[i]) * s
+    return out
 
 
-def mix(docs: DataFrame, *, most: int = MOST, group: int = GROUP) -> DataFrame:
+def mix(docs: DataFrame, *, most: int = MOST, deals: int = DEALS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row of docs (doc_id, source, text)."""
     prepare(docs.sparkSession)
-    sizes = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("last", F.col("source").isNull()))
-    sources = keep(targets(ranked_sources(sizes), most))
-    histogram = keep(sizes.where("size > 0").groupBy("source", "last", "size").agg(F.count("*").alias("m")))
-    state = solve_rates(histogram, sources, most)
-    a, s, r = sizes.alias("a"), sources.alias("s"), state.alias("r")
-    same = lambda x, y: F.col(f"{x}.source").eqNullSafe(F.col(f"{y}.source")) & (F.col(f"{x}.last") == F.col(f"{y}.last"))
-    per_source = s.join(r, same("s", "r"), "left").select(F.col("s.source").alias("source"), F.col("s.last").alias("last"), F.col("s.total").alias("source_size"), F.col("s.target").alias("target"), "n", "lam", "scale").alias("p")
+    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(deals)).cast("int")
+    null = F.pmod(F.xxhash64("text"), F.lit(deals)).cast("int")
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    sizes = keep(sizes.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("last"), word_count(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), null).otherwise(own).alias("g")))
+    groups = keep(sizes.groupBy("source", "last", "size", "g").agg(F.count("*").alias("n")))
+    histogram = keep(groups.groupBy("source", "last", "size").agg(F.sum("n").alias("m")))
+    sources = keep(targets(ranked_sources(histogram), most))
+    texts = histogram.where("size > 0")
+    state = solve_rates(texts, sources, most)
+    on = ["source", "last"]
+    per_source = sources.select(*on, F.col("total").alias("source_size"), "target").join(state.select(*on, "lam", "scale"), on, "left")
     full = F.col("target") >= F.col("source_size") * most * (1 - 1e-12)
     rate = F.when(full, F.lit(float(most))).when(F.col("target") <= 0, 0.0).otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(math.log(most))))))
-    rows = a.join(per_source, same("a", "p")).select(F.col("a.doc_id").alias("doc_id"), F.col("a.source").alias("source"), F.col("size"), "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate"), F.xxhash64(F.col("a.doc_id"), F.col("size")).alias("h"), F.ceil(F.col("n") / group).cast("int").alias("groups"))
-    # a source of n rows goes to ceil(n / group) tasks, dealt by the text's hash
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("h"), F.col("groups")).cast("int"))
-
-    def rounded(t: pa.Table) -> pa.Table:
-        x = pd.DataFrame({"size": t["size"].to_numpy(), "rate": t["rate"].to_numpy(), "h": t["h"].to_numpy(), "doc_id": t["doc_id"].to_pandas(), "row": np.arange(t.num_rows)})
-        copies = round_copies(x, most).sort_values("row")["copies"].to_numpy()
-        return pa.table({"doc_id": t["doc_id"], "source": t["source"], "size": t["size"], "source_size": t["source_size"], "target": t["target"], "copies": copies, "taken": copies * t["size"].to_numpy()})
-
-    return rows.groupBy(F.coalesce("source", F.lit("")), F.col("source").isNull(), "g").applyInArrow(rounded, "doc_id long, source string, size long, source_size long, target double, copies long, taken long")
+    rates = texts.join(per_source, on).select(*on, "size", "m", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+
+    def whole(t: pa.Table) -> pa.Table:
+        return t.drop_columns(["rate"]).append_column("k", pa.array(round_copies(*(t[c].to_numpy() for c in ("size", "m", "rate")), most)))
+
+    planned = rates.groupBy(*on).applyInArrow(whole, "source string, last boolean, size long, m long, k long")
+    before = Window.partitionBy("source", "last", "size").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(planned, [*on, "size"], "left").join(per_source.select(*on, "source_size", "target"), on)
+    key = [*on, "size", "g"]
+    ranked = sizes.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id")))
+    rows = ranked.join(dealt, key).withColumn("i", (F.col("before") + F.col("i")).cast("decimal(19,0)"))
+    rows = rows.withColumn("copies", F.expr("CASE WHEN size > 0 THEN CAST(i * CAST(k AS DECIMAL(19,0)) DIV m - (i - 1) * CAST(k AS DECIMAL(19,0)) DIV m AS LONG) ELSE 0L END"))
+    return rows.select("doc_id", F.when(~F.col("last"), F.col("source")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

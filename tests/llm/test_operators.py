@@ -553,6 +553,43 @@ def test_mixing(spark):
     assert mixing.mix(made(spark, [])).count() == 0
 
 
+def test_copies_by_brute_force(spark):
+    """Each row's copies from the rates, the running miss over sizes and the ranks; a third of the rows is one text, half are empty."""
+    rng = random.Random(18)
+    rows = [(i, "same words again here", "en", "hot") for i in range(3000)] + [(10_000 + i, "", "en", "hot") for i in range(4000)] + [(20_000 + i, sentence(rng, rng.randint(1, 30)), "en", rng.choice(["hot", "b", "c"])) for i in range(1500)]
+    got = mixing.mix(made(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source, {}).setdefault(r.size, []).append(r.copies)
+    for r in got[:1]:
+        assert r.target
+    targets = {r.source: r.target for r in got}
+    for source, sizes in by.items():
+        total = sum(s * len(c) for s, c in sizes.items())
+        low, high = -60.0, 60.0
+        rate = lambda x, s: min(3.0, math.exp(min(60.0, x * s)))
+        for _ in range(200):
+            mid = (low + high) / 2
+            if sum(s * len(c) * rate(mid, s) for s, c in sizes.items()) < targets[source]:
+                low = mid
+            else:
+                high = mid
+        full = targets[source] >= 3 * total * (1 - 1e-12)
+        miss = 0.0
+        for s in sorted(sizes, reverse=True):
+            c = sizes[s]
+            if s:
+                miss += s * len(c) * (3 if full else rate(low, s))
+                k = min(3 * len(c), max(0, math.floor(miss / s + 0.5)))
+                miss -= k * s
+                assert abs(sum(c) - k) <= 1  # the last digits of the rates
+                assert max(c) - min(c) <= 1
+            else:
+                assert not any(c)
+    again = mixing.mix(made(spark, rows).repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 def test_rates_are_tilted(spark):
     rows = [(i, "w " * (i % 20 + 1), "en", "a" if i < 100 else "b") for i in range(200)]
     sizes = made(spark, rows).select("source", mixing.word_count(F.col("text")).alias("size")).withColumn("last", F.lit(False))
