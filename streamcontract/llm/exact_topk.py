@@ -11,17 +11,22 @@ as are still needed; a ranking by (score, id) finishes.
 Queries go in blocks of bounded size (`block` rows at most in expectation), which
 is all that is broadcast; the rest of the rows are never collected or shuffled.
 What a task sends is one sparse histogram per query, at most `bins` long, or at
-most `2 k` rows a query.
+most `2 k` rows a query. A block's result is written before the next one starts, so the
+plan does not grow with the number of blocks.
 
 Cases: null vectors, vectors with null or non-finite components and rows with a
-null id take no part. Candidates have the query's length. Of repeated rows of one
-query id the smallest vector is the query; a query's own id is never a candidate;
-repeated candidate rows are ranked each. Ties go to the smaller id. Without
-queries or candidates the result is empty.
+null id take no part. Candidates have the query's length. Rows of one query id are
+queries of their own whose scores are ranked together; a query's own id is never a
+candidate; repeated candidate rows are ranked each. Ties go to the smaller id. A
+scaled component beyond 64 bits is the nearest long; sums of products are exact
+however large, and a score beyond 64 bits is the nearest long (the least one excepted).
+Without queries or candidates the result is empty.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streamcontract.llm.common import keep, prepare, table
+from streamcontract.llm.common import keep, prepare, shared_dir, table
 
 BLOCK, BINS, ROWS = 2048, 1024, 2048
 
@@ -56,15 +61,32 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 yield ids[part], values[starts[part][:, None] + np.arange(n)] if n else np.zeros((len(part), 0), np.int64)
 
 
+#: Scores lie between -LIMIT and LIMIT.
+LIMIT = (1 << 63) - 1
+
+
+def _exact(m: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Inner products in unbounded integers, cut off at the limits of a score."""
+    out = m.astype(object) @ matrix.T.astype(object)
+    return np.clip(out, -LIMIT, LIMIT).astype(np.int64) if m.shape[1] else np.zeros((len(m), len(matrix)), np.int64)
+
+
 def _scores(q: dict[int, tuple[np.ndarray, np.ndarray]], m: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Query numbers and exact integer scores (rows x queries)."""
     if (got := q.get(m.shape[1])) is None:
         return None
     numbers, matrix = got
-    largest = float(np.abs(m).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * max(1, m.shape[1])
-    if largest < 2**53:
-        return numbers, (m.astype(np.float64) @ matrix.T.astype(np.float64)).astype(np.int64)
-    return numbers, m @ matrix.T
+    # up to `cut` doubles hold every sum; the few rows and queries with larger components are worked out apart
+    cut = (2**53 / max(1, m.shape[1])) ** 0.5
+    large, great = (np.abs(x.astype(np.float64)).max(1, initial=0) >= cut for x in (m, matrix))
+    plain = m.astype(np.float64), matrix.astype(np.float64)
+    plain[0][large], plain[1][great] = 0, 0
+    out = (plain[0] @ plain[1].T).astype(np.int64)
+    if large.any():
+        out[large] = _exact(m[large], matrix)
+    if great.any():
+        out[:, great] = _exact(m, matrix[great])
+    return numbers, out
 
 
 def _by_length(vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -80,12 +102,13 @@ def search_block(rows: DataFrame, queries: pd.DataFrame, k: int, bound: int, bin
     own = queries["vec_id"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast((own, _by_length(list(queries["v"]))))
     n = len(own)
-    low, width = np.full(n, -bound, np.int64), np.full(n, 2 * bound + 1, np.int64)  # the range that holds the k-th score
+    bound = min(bound, LIMIT)
+    low, width = np.full(n, -bound, object), np.full(n, 2 * bound + 1, object)  # the range that holds the k-th score, in unbounded integers
     above = np.zeros(n, np.int64)  # candidates over the range
     short = np.zeros(n, bool)  # fewer than k candidates: all are taken
     while (width[~short] > 1).any():
         step = np.maximum(1, -(-width // bins))
-        now = spark.sparkContext.broadcast((low.copy(), width.copy(), step, short.copy()))
+        now = spark.sparkContext.broadcast((low.astype(np.int64), width.astype(np.uint64), step.astype(np.uint64), short.copy()))
 
         def histogram(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             own, by_length = shared.value
@@ -95,9 +118,9 @@ def search_block(rows: DataFrame, queries: pd.DataFrame, k: int, bound: int, bin
                 if (got := _scores(by_length, m)) is None:
                     continue
                 numbers, s = got
-                cell = (s - low[numbers]) // step[numbers]
-                good = (s >= low[numbers]) & (s < (low + width)[numbers]) & (ids[:, None] != own[numbers]) & ~short[numbers]
-                at = (np.broadcast_to(np.arange(len(numbers)), s.shape) * bins + cell)[good]
+                over = s.view(np.uint64) - low.view(np.uint64)[numbers]  # distance, where s >= low
+                good = (s >= low[numbers]) & (over < width[numbers]) & (ids[:, None] != own[numbers]) & ~short[numbers]
+                at = (np.broadcast_to(np.arange(len(numbers)), s.shape) * bins + (over // step[numbers]).astype(np.int64))[good]
                 h = np.bincount(at, minlength=len(numbers) * bins)
                 key = m.shape[1]
                 total[key] = total[key] + h if key in total else h
@@ -116,12 +139,13 @@ def search_block(rows: DataFrame, queries: pd.DataFrame, k: int, bound: int, bin
         q, b = hit["q"].to_numpy(np.int64), hit["bin"].to_numpy(np.int64)
         seen[q] = True
         above[q] += (hit["reach"] - hit["n"]).to_numpy(np.int64)
+        b = b.astype(object)
         end = np.minimum(low[q] + (b + 1) * step[q], low[q] + width[q])
         low[q] += b * step[q]
         width[q] = end - low[q]
         short |= ~seen
     low[short], above[short] = -bound, 0
-    last = spark.sparkContext.broadcast((low, k - above, short))
+    last = spark.sparkContext.broadcast((low.astype(np.int64), k - above, short))
 
     def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, by_length = shared.value
@@ -161,19 +185,20 @@ def exact_topk(df: DataFrame, is_query: object, *, k: int = 10, id_column: str =
     """query_id long, rank int, vec_id long, score long. `is_query` is a condition on the column vec_id."""
     spark = prepare(df.sparkSession)
     rows = keep(integer_vectors(df, id_column, vector, scale))
-    queries = keep(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
+    queries = keep(rows.where(is_query))
     sizes = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("n2")).first()
-    bound = int(np.ceil(np.sqrt(sizes["n2"] or 0.0) + 1)) ** 2 + 1  # no inner product exceeds the largest squared norm
+    bound = int(math.ceil(math.sqrt(sizes["n2"] or 0.0) * (1 + 1e-9) + 1)) ** 2 + 1  # no inner product exceeds the largest squared norm
     n = queries.count()
-    result = None
     blocks = max(1, -(-2 * n // block)) if n > block else 1
+    folder = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}"
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)))
     for i in range(blocks):
-        chosen = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)).toPandas()
+        chosen = queries.where(F.col("block") == i).select("vec_id", "v").toPandas()
         if len(chosen):
-            part = keep(search_block(rows, chosen, k, bound, bins))
-            result = part if result is None else result.unionByName(part)
-    if result is None:
+            search_block(rows, chosen, k, bound, bins).write.parquet(f"{folder}/block={i}")
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    result = spark.read.schema("query_id long, vec_id long, score long").parquet(folder)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -95,15 +95,15 @@ def test_token_counts(spark):
 
 
 def brute_topk(rows, is_query, k):
-    v = [(i, np.floor(1024 * np.array(x, np.float64)).astype(object)) for i, x in rows if i is not None and x is not None and all(a is not None and math.isfinite(a) for a in x)]
-    firsts = {}
-    for i, x in v:
-        if is_query(i) and (i not in firsts or list(x) < list(firsts[i])):
-            firsts[i] = x
-    out = []
-    for q, x in firsts.items():
-        scores = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in v if i != q and len(y) == len(x))
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    top = 2**63 - 1
+    fit = lambda x: max(-top - 1, min(top, math.floor(1024 * x) if math.isfinite(1024 * x) else math.copysign(2.0**70, x)))
+    v = [(i, [int(fit(a)) for a in x]) for i, x in rows if i is not None and x is not None and all(a is not None and math.isfinite(a) for a in x)]
+    out, by = [], {}
+    for q, x in v:
+        if is_query(q):
+            by.setdefault(q, []).extend((-max(-top, min(top, sum(a * b for a, b in zip(x, y, strict=True)))), i) for i, y in v if i != q and len(y) == len(x))
+    for q, scores in by.items():
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
@@ -119,6 +119,16 @@ def test_topk(spark, bins):
     assert exact_topk.exact_topk(df.where("vec_id < 0"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """Finite components of any size take part; a score beyond 64 bits is the nearest long."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(a) for a in rng.normal(0, 10.0 ** (i % 9), 3)]) for i in range(80)]
+    rows += [(100, [1e300, -1e300, 1.0]), (101, [3e6, 3e6, 3e6]), (110, [1.7e308, 1.0, 0.0]), (111, [-1e15, 2e15, 5.0]), (120, [0.0, 0.0, 1e-300]), (121, [9e15, 9e15, -9e15])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk.exact_topk(df, F.col("vec_id") % 10 == 0, k=7)
+    assert sorted(tuple(r) for r in got.collect()) == brute_topk(rows, lambda i: i % 10 == 0, 7)
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -860,6 +870,19 @@ def test_large_buckets_are_dealt_out(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_near(rows, 4)
 
 
+def test_large_groups(spark, monkeypatch):
+    """Ten thousand copies, as many empty texts, and a hub with hundreds of near copies, whose edges go to many parts."""
+    monkeypatch.setattr(near_dedup, "PART", 16)
+    base = [f"w{i}" for i in range(60)]
+    near = [(50_000 + i, " ".join([*base[:58], f"x{i}", f"y{i}"])) for i in range(300)]
+    rows = [(i, "one text of some words that many rows repeat") for i in range(10_000)] + [(20_000 + i, None if i % 2 else " ") for i in range(10_000)] + [(49_999, " ".join(base)), *near]
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(made(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].component_id == 0 for i in range(10_000))
+    assert all(got[20_000 + i].kept and got[20_000 + i].n_shingles == 0 for i in range(10_000))
+    assert {got[i].component_id for i, _ in near} == {49_999}
+
+
 def test_near_duplicates_odd_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (5, "p q r s t"), (5, "k l m n o"), (4, "k l m n o"), (None, "a b c d e"), (None, "u v w x y"), (None, None), (7, "")]
     got = near_dedup.near_duplicates(made(spark, rows)).collect()
