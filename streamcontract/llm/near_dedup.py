@@ -169,14 +169,27 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose full sets reach the similarity."""
-    both = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    """The edges (a, b) whose full sets reach the similarity.
+
+    Each edge carries the set of b; the set of a comes once for every PART edges of a,
+    in front of them, so neither a hub's set nor its edges meet in one task.
+    """
+    parts = edges.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+    ends = edges.join(parts, "a").select("a", part, "b").join(sets.select(F.col("doc_id").alias("b"), "set"), "b").select("a", "part", "b", "set")
+    heads = parts.join(sets.select(F.col("doc_id").alias("a"), "set"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    both = heads.unionByName(ends).repartition(shuffle_partitions(edges.sparkSession), "a", "part").sortWithinPartitions("a", "part", "b")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        x = None
+        for batch in batches:
             good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for other, y in zip(batch.column(2), batch.column(3), strict=True):
+                y = np.frombuffer(y.as_buffer(), np.uint64)
+                if not other.is_valid:
+                    x = y
+                    good.append(False)
+                    continue
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     good.append(False)
                     continue
@@ -184,7 +197,7 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(long, short), len(long) - 1)
                 same = int((long[at] == short).sum())
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield batch.select([0, 2]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long").distinct()
 
@@ -336,9 +349,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, passe
             break
     # every class of a component, then every row of a class
     by_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
-    out = rows.select("doc_id", *key).join(by_class, key, "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = rows.where("n > 0").select("doc_id", *key).join(by_class, key, "left").select("doc_id", "n", "component_id")
+    alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
