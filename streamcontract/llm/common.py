@@ -9,6 +9,7 @@ many rows a batch has. A single longer document is a run of its own.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,16 +28,15 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes checkpoint() usable and lets Python workers import this package.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where
-    that is unset, as in local tests, is a temporary one taken.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where that is
+    unset a local session, as in tests, gets a temporary one; on a cluster this raises.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if sc.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     paths = [x for x in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
@@ -44,9 +44,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that an operator writes itself."""
-    prepare(spark)
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A folder of this application in the shared one, for tables that an operator writes itself; it goes when the application ends."""
+    sc = prepare(spark).sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    path = f"{top}/tables-{sc.applicationId}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -50,6 +50,28 @@ def test_rows_without_an_id(spark):
     assert mixed == {x: 1 for x in want if x[1]}
 
 
+def test_clashing_columns_and_no_rows(spark, tmp_path):
+    """All stages on documents with columns of the stages' own names, and on none."""
+    extra = ["score", "kept", "copies", "k", "n", "k1", "k2", "__id", "__size", "in_text", "rep", "perplexity", "threshold", "size", "g", "toxic"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", *(f"'x' AS {c}" for c in extra))
+    for name, rows in (("a", docs), ("b", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert (out.count() > 0) == (name == "a")
+        assert "ids" in out.columns
+
+
+def test_missing_library_hides_llm_alone(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "streamcontract.llm", None)
+    for name in [n for n in sys.modules if n.startswith("streamcontract.llm.") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    found = entry.queries()
+    assert found and not any(k.startswith("op") and k[2].isdigit() for k in found) and "pipeline" not in found
+
+
 def test_pieces_are_returned(spark):
     import sentencepiece
 
