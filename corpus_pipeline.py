@@ -4,6 +4,12 @@ Each stage takes what the one before kept, as a table with the columns of
 documents, and returns what it keeps; the last returns the kept documents' pieces.
 Stages are written as Parquet and read again, so a lost executor costs one stage
 at most, and a later stage never recomputes an earlier one.
+
+Cases: null and empty texts have no words and go with the quality classifier; rows
+without an id are decided and kept one by one; rows of one id are one document to
+near-dedup, which keeps one of them; null languages and sources are a language and a
+source; columns beside those of documents are dropped at the start, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamcontract.llm import mixing, near_dedup, pieces, quality, toxicity
-from streamcontract.llm.common import shared_dir, table
+from streamcontract.llm.common import drop_table, shared_dir, table
 
 #: No stage is SQL: the models are trained, the copies come from solved rates.
 ORACLE_SQL = None
@@ -90,4 +96,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            drop_table(spark, f"{folder}/{i - 1}")
     return docs
