@@ -63,9 +63,14 @@ class Hmm:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0), segment)
 
     def scaled(self, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-        """Emissions (states x symbols), each symbol's scaled to a maximum of one, and the logs of the scales."""
+        """Emissions, each symbol's scaled to a maximum of one, and the logs of the scales."""
         top = np.maximum(self.emit.max(1), 1e-300)
-        return np.ascontiguousarray((self.emit / top[:, None]).T.astype(dtype)), np.log(top)
+        return (self.emit / top[:, None]).astype(dtype), np.log(top)
+
+
+def _emitted(emit: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """States x symbols; whole rows are taken, as a row is one line of the cache."""
+    return np.ascontiguousarray(emit.take(symbols, axis=0).T)
 
 
 @dataclass
@@ -112,7 +117,7 @@ def operators(h: Hmm, c: Cut, which: np.ndarray, dtype: type = np.float64) -> tu
     for t, m in enumerate(ends):
         if not m:
             break
-        y = emit[:, c.symbols[t, which[:m]]][:, :, None] * x[:, :m]
+        y = _emitted(emit, c.symbols[t, which[:m]])[:, :, None] * x[:, :m]
         y = (down @ y.reshape(k, m * k)).reshape(k, m, k)
         s = y.max((0, 2))
         x[:, :m] = y / s[None, :, None]
@@ -153,26 +158,29 @@ def expected_counts(h: Hmm, c: Cut, begin: np.ndarray, end: np.ndarray, opens: n
     before, after = boundaries(h, c, begin, end)
     forward = np.zeros((len(c.live), k, n), np.float32)
     last = np.empty((k, n), np.float32)
+    emitted, scales = [], {}
     for t, m in enumerate(c.live):
-        a = (before[:m].T.astype(np.float32) if t == 0 else move.T @ forward[t - 1, :, :m]) * emit[:, c.symbols[t, :m]]
+        emitted.append(_emitted(emit, c.symbols[t, :m]))
+        a = (before[:m].T.astype(np.float32) if t == 0 else move.T @ forward[t - 1, :, :m]) * emitted[t]
         if t % 4 == 0:
-            a /= a.sum(0)
+            scales[t] = a.sum(0)
+            a /= scales[t]
         forward[t, :, :m] = a
         ended = c.live[t + 1] if t + 1 < len(c.live) else 0
         last[:, ended:m] = a[:, ended:]
     b = move @ after.T.astype(np.float32)
     moved = np.zeros((k, k))
+    ends = np.cumsum(c.live)
+    posterior = np.empty((k, int(ends[-1])), np.float32)  # place by place
     for t in range(len(c.live) - 1, -1, -1):
         m = c.live[t]
-        now = forward[t, :, :m]
+        e = emitted.pop() * b[:, :m]
+        now = forward[t, :, :m] * b[:, :m]
+        z = np.maximum(now.sum(0), 1e-38)
+        np.divide(now, z, out=posterior[:, ends[t] - m : ends[t]])
         if t:
-            e = emit[:, c.symbols[t, :m]] * b[:, :m]
+            moved += (forward[t - 1, :, :m] / (z * scales[t] if t in scales else z)) @ e.T
             up = move @ e
-            x = forward[t - 1, :, :m]
-            moved += (x / np.maximum((x * up).sum(0), 1e-38)) @ e.T
-        now *= b[:, :m]
-        now /= now.sum(0)
-        if t:
             b[:, :m] = up / up.sum(0) if t % 4 == 0 else up
     go_on = np.flatnonzero((c.part < c.parts - 1) | ~closes[c.text])
     if len(go_on):
@@ -180,10 +188,9 @@ def expected_counts(h: Hmm, c: Cut, begin: np.ndarray, end: np.ndarray, opens: n
         moved += (x / (x * (h.move @ y)).sum(0)) @ y.T
     moved *= h.move
     heads = np.flatnonzero((c.part == 0) & opens[c.text])
-    start = forward[0][:, heads].sum(1, dtype=np.float64)
-    own = np.arange(len(c.live))[:, None] < c.length
-    flat = c.symbols[own]
-    seen = np.stack([np.bincount(flat, weights=forward[:, j][own], minlength=len(h.emit)) for j in range(k)], axis=1)
+    start = posterior[:, heads].sum(1, dtype=np.float64)
+    flat = np.concatenate([c.symbols[t, :m] for t, m in enumerate(c.live)]).astype(np.int64)
+    seen = np.stack([np.bincount(flat, weights=posterior[j], minlength=len(h.emit)) for j in range(k)], axis=1)
     return start, moved, seen
 
 
@@ -198,7 +205,7 @@ def log_likelihood(h: Hmm, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     for t, m in enumerate(np.searchsorted(single, c.live, "left").tolist()):
         if not m:
             break
-        a = (np.repeat(h.start[:, None], m, axis=1) if t == 0 else down @ a[:, :m]) * emit[:, c.symbols[t, single[:m]]]
+        a = (np.repeat(h.start[:, None], m, axis=1) if t == 0 else down @ a[:, :m]) * _emitted(emit, c.symbols[t, single[:m]])
         s = a.sum(0)
         a /= s
         logs[:m] += np.log(s)
