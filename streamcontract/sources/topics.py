@@ -79,6 +79,13 @@ class TopicStore:
         seq = (self.commits().agg(F.max("seq")).first()[0] or 0) + 1
         self.spark.createDataFrame([(group, topic, position, at, seq)], COMMITS).write.mode("append").parquet(f"{self.path}/commits")
 
+    def create_group(self, group: str, topics: tuple[str, ...], start: str | dt.datetime = "$") -> None:
+        """Notes where a group begins in topics; those that it reads already are left as they are."""
+        known = {r["topic"] for r in self.offsets().where(F.col("group_id") == group).collect()}  # one group's topics
+        for topic in topics:
+            if topic not in known:
+                self.reset(group, topic, start)
+
     def position(self, group: str, topic: str) -> int | str:
         """The group's next offset, or '$' without one."""
         r = self.offsets().where((F.col("group_id") == group) & (F.col("topic") == topic)).first()
