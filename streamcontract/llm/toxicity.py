@@ -248,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", may_learn
         part = there.where(F.col("label") == y).orderBy(mixed, "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     ids = keep(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # ids is bounded: 2 * per_class rows
     rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
     sample = _packed(rows).dropDuplicates(["doc_id"]).toArrow()
@@ -266,8 +266,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", may_learn
         pa.default_memory_pool().release_unused()
     # at most 2 * per_class ids
     seen = spark.createDataFrame([(int(x),) for x in names[trained]], "doc_id long")
-    others = texts.join(F.broadcast(seen), "doc_id", "left_anti").join(known.select(F.col("doc_id"), F.col("label")), "doc_id")
-    model.thresholds = thresholds(toxicity(others, model, ["label"]).select("lang", F.col("in_label").alias("label"), "score"), least)
+    # all rows are scored and only their scores meet the labels: no text is shuffled
+    scored = toxicity(docs, model).select("doc_id", "lang", "score")
+    model.thresholds = thresholds(scored.join(F.broadcast(seen), "doc_id", "left_anti").join(known, "doc_id").select("lang", "label", "score"), least)
     return model
 
 
