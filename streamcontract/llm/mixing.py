@@ -32,6 +32,7 @@ their own; a null doc_id is kept as null; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from streamcontract.llm.common import fresh, keep, prepare, table
 
 WEIGHTS, MOST, ROUNDS, DEALS = (1.0, 2.0, 3.0), 3, 1000, 256
+PER_PARTITION = 100_000  # rows of the small tables
 EXACT = "decimal(38,9)"  # of a word
 
 
@@ -93,7 +95,12 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, most: int = MOST, roun
     low = F.when(F.col("target") < F.col("total"), F.log(F.col("target") / F.col("total")) * reach).otherwise(0.0) - 1e-3
     # a source that is taken whole `most` times, or not at all, needs no search
     state = state.withColumns({"lam": F.lit(0.0), "low": low, "high": top * reach + 1e-3, "done": (F.col("target") >= F.col("total") * most * (1 - 1e-12)) | (F.col("target") <= 0)})
-    state = fresh(state.drop("least"))
+    # small tables in few partitions, so that a round costs few files
+    few = lambda df: fresh(df.coalesce(max(1, n // PER_PARTITION)))
+    n = sources.count()
+    state = few(state.drop("least"))
+    n_sizes = histogram.count()
+    histogram = keep(histogram.coalesce(max(1, n_sizes // PER_PARTITION)))
     for i in range(rounds):
         if not state.where("NOT done").limit(1).count():
             return state
@@ -102,22 +109,21 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, most: int = MOST, roun
         e = F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(top))
         joined = h.join(s, F.col("h.source").eqNullSafe(F.col("s.source")) & (F.col("h.last") == F.col("s.last")))
         mass = F.col("m") * F.col("size") * F.exp(e)
+        same = ["total", "target", "scale", "lam", "low", "high"]
         sums = joined.groupBy(F.col("s.source").alias("source"), F.col("s.last").alias("last")).agg(
-            F.sum(mass.cast(EXACT)).cast("double").alias("reached"), F.sum(F.when(e < top, mass * F.col("size") / F.col("scale")).otherwise(0.0).cast(EXACT)).cast("double").alias("slope")
+            F.sum(mass.cast(EXACT)).cast("double").alias("reached"), F.sum(F.when(e < top, mass * F.col("size") / F.col("scale")).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"), *(F.first(F.col(f"s.{c}")).alias(c) for c in same)
         )
-        t, u = state.alias("t"), sums.alias("u")
         miss = F.col("reached") - F.col("target")
         low, high = F.when(miss < 0, F.col("lam")).otherwise(F.col("low")), F.when(miss > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - miss / F.when(F.col("slope") > 0, F.col("slope"))
         inside = F.coalesce((newton > low) & (newton < high), F.lit(False)) if i % 8 < 7 else F.lit(False)
-        moved = ~F.col("done") & (F.abs(miss) > 1e-9 * F.col("target"))
-        state = fresh(
-            t.join(u, F.col("t.source").eqNullSafe(F.col("u.source")) & (F.col("t.last") == F.col("u.last")), "left").select(
-                F.col("t.source").alias("source"), F.col("t.last").alias("last"), "total", "target", "scale",
-                F.when(moved, F.when(inside, newton).otherwise((low + high) / 2)).otherwise(F.col("lam")).alias("lam"),
-                F.when(moved, low).otherwise(F.col("low")).alias("low"), F.when(moved, high).otherwise(F.col("high")).alias("high"), (~moved).alias("done"),
-            )
-        )
+        moved = F.abs(miss) > 1e-9 * F.col("target")
+        after = sums.select(
+            "source", "last", "total", "target", "scale",
+            F.when(moved, F.when(inside, newton).otherwise((low + high) / 2)).otherwise(F.col("lam")).alias("lam"),
+            F.when(moved, low).otherwise(F.col("low")).alias("low"), F.when(moved, high).otherwise(F.col("high")).alias("high"), (~moved).alias("done"),
+        )
+        state = few(after.unionByName(state.where("done").select(*after.columns)))
     left = state.where("NOT done")
     if n := left.count():
         raise RuntimeError(f"{n} sources have not reached their target after {rounds} rounds, {left.first()['source']!r} among them")
@@ -136,15 +142,17 @@ def round_copies(size: np.ndarray, m: np.ndarray, rate: np.ndarray, most: int =
     return out
 
 
-def mix(docs: DataFrame, *, most: int = MOST, deals: int = DEALS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every row of docs (doc_id, source, text)."""
+def mix(docs: DataFrame, *, most: int = MOST, deals: int = DEALS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row of docs (doc_id, source, text); in_<c> is the row's own column c of carry."""
     prepare(docs.sparkSession)
-    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(deals)).cast("int")
-    null = F.pmod(F.xxhash64("text"), F.lit(deals)).cast("int")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    sizes = keep(sizes.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("last"), word_count(F.col("text")).alias("size"), F.when(F.col("doc_id").isNull(), null).otherwise(own).alias("g")))
+    text, doc_id, source = F.col("text").cast("string"), F.col("doc_id").cast("long"), F.col("source").cast("string")
+    own = F.pmod(F.xxhash64(doc_id, F.lit(3)), F.lit(deals)).cast("int")
+    null = F.pmod(F.xxhash64(text), F.lit(deals)).cast("int")
+    columns = [doc_id.alias("doc_id"), F.coalesce(source, F.lit("")).alias("source"), source.isNull().alias("last"), word_count(text).alias("size"), F.when(doc_id.isNull(), null).otherwise(own).alias("g"), F.xxhash64(text).alias("h")]
+    sizes = keep(docs.select(*columns))
     groups = keep(sizes.groupBy("source", "last", "size", "g").agg(F.count("*").alias("n")))
-    histogram = keep(groups.groupBy("source", "last", "size").agg(F.sum("n").alias("m")))
+    histogram = groups.groupBy("source", "last", "size").agg(F.sum("n").alias("m"))
+    histogram = keep(histogram.coalesce(max(1, groups.count() // PER_PARTITION)))
     sources = keep(targets(ranked_sources(histogram), most))
     texts = histogram.where("size > 0")
     state = solve_rates(texts, sources, most)
@@ -161,10 +169,12 @@ def mix(docs: DataFrame, *, most: int = MOST, deals: int = DEALS) -> DataFrame:
     before = Window.partitionBy("source", "last", "size").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     dealt = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(planned, [*on, "size"], "left").join(per_source.select(*on, "source_size", "target"), on)
     key = [*on, "size", "g"]
-    ranked = sizes.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id")))
+    # what is carried is shuffled once, and never stored here
+    each = docs.select(*columns, *(F.col(c).alias(f"in_{c}") for c in carry)) if carry else sizes
+    ranked = each.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "h")))
     rows = ranked.join(dealt, key).withColumn("i", (F.col("before") + F.col("i")).cast("decimal(19,0)"))
     rows = rows.withColumn("copies", F.expr("CASE WHEN size > 0 THEN CAST(i * CAST(k AS DECIMAL(19,0)) DIV m - (i - 1) * CAST(k AS DECIMAL(19,0)) DIV m AS LONG) ELSE 0L END"))
-    return rows.select("doc_id", F.when(~F.col("last"), F.col("source")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("doc_id", F.when(~F.col("last"), F.col("source")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(f"in_{c}" for c in carry))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
