@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamcontract.llm import mixing, near_dedup, pieces, quality, toxicity
@@ -61,19 +61,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it.
-
-    Rows of the same id, source and size are alike to the mix: their copies are handed out in the order of their texts.
-    """
-    size = mixing.word_count(F.col("text"))
-    rows = docs.select(*COLUMNS, size.alias("__size"))
-    like = [F.col("doc_id").cast("long"), F.col("source").cast("string")]
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*like, "__size").orderBy(F.xxhash64("text"), "text", "lang", "n_chars")))
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), "copies")
-    copies = copies.withColumn("__at", F.row_number().over(Window.partitionBy("__id", "__source", "__words").orderBy(F.desc("copies")))).where("copies > 0")
-    same = like[0].eqNullSafe(F.col("__id")) & like[1].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words")) & (F.col("__n") == F.col("__at"))
-    taken = rows.join(copies, same)
-    return taken.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    """Each row as often as the mix takes it."""
+    taken = mixing.mix(docs, carry=COLUMNS).where("copies > 0")
+    return taken.select(*(F.col(f"in_{c}").alias(c) for c in COLUMNS), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
