@@ -195,7 +195,7 @@ def reference_loader(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _loaded_files(spark: SparkSession, sf: str, rows: list) -> list:
-    folder = Q._scratch(spark)
+    folder = f"{Q._scratch(spark)}/files"
     spark.createDataFrame([(name, json.dumps({"const": n})) for n, name, _ in rows], "name string, value string").repartition(1).write.partitionBy("name").text(folder)
     load = loaders.standard(spark)
     missing = loaders.first_of(loaders.metaschema_loader, loaders.mapping_loader({}))
