@@ -506,6 +506,26 @@ def test_quality(spark):
     assert quality.quality(made(spark, []), labels).count() == 0
 
 
+def test_quality_learns_from_all_trusted_rows(spark, monkeypatch):
+    n, counts, seen = 25_000, quality.ngram_counts, []
+    docs = spark.range(n + 500).selectExpr("id doc_id", "concat('plain words ', id % 97) text", "'en' lang")
+    docs = docs.unionByName(docs.where("doc_id < 40"))  # repeated rows
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality")
+    monkeypatch.setattr(quality, "ngram_counts", lambda texts: seen.append(texts.count()) or counts(texts))
+    assert quality.quality(docs, labels).count() == n + 540
+    of_ids = "pmod(xxhash64(doc_id, 7), 5) <> 0 AND doc_id < 25000"
+    assert seen == [docs.where(of_ids).count()] and seen[0] > 19_000
+    ids = spark.createDataFrame([(1,), (None,), (-5,)], "doc_id long")
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (-5, "e")], "doc_id long, text string")
+    assert sorted(quality.with_ids(rows, ids).collect()) == [(-5, "e"), (1, "a"), (1, "b")]
+
+
+def test_ngram_counts_of_large_partitions(spark):
+    text = "ab " * 1_500_000  # its last run fills the buffer
+    got = quality.ngram_counts(made(spark, [(0, text)]).coalesce(1)).agg({"n": "sum"}).first()[0]
+    assert got == len(text) + 1
+
+
 def test_quality_thresholds_of_small_languages(spark):
     """A language that is rare in the sample has its own threshold if it has `least` trusted texts in all."""
     rng = random.Random(4)
