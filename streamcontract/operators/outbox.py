@@ -45,12 +45,12 @@ def settle(outbox: DataFrame, done: DataFrame, failed: DataFrame, now: object) -
     return joined.withColumns({"processed_at": F.when(F.col("__done"), F.coalesce("processed_at", F.lit(now))).otherwise(F.col("processed_at")), "retries": F.col("retries") + bad.cast("int"), "error": F.coalesce("__error", "error")}).select(*outbox.columns)
 
 
-def decode(rows: DataFrame) -> DataFrame:
-    """Envelopes of outbox rows; decode_error where the payload is no envelope."""
+def decode(rows: DataFrame, *carry: str) -> DataFrame:
+    """Envelopes of outbox rows, with the row's columns carry; decode_error where the payload is no envelope."""
     text = F.decode("payload", "UTF-8")
     e = F.from_json(text, "event_id string, event_type string, event_version int, event_time timestamp, event_source string, payload string, metadata map<string,string>")
-    out = rows.select("topic", "key", F.col("event_id").alias("__row"), e.alias("e"))
-    return out.select(F.col("__row").alias("row_id"), "topic", "key", "e.*", F.when(F.col("e.event_id").isNull(), "DeserializationError").alias("decode_error"))
+    out = rows.select("topic", "key", F.col("event_id").alias("__row"), e.alias("e"), *carry)
+    return out.select(F.col("__row").alias("row_id"), "topic", "key", "e.*", *carry, F.when(F.col("e.event_id").isNull(), "DeserializationError").alias("decode_error"))
 
 
 class Outbox:
@@ -74,39 +74,50 @@ class Outbox:
         hit = F.col("event_id") == event_id
         self.table.update(lambda t: t.withColumns({"retries": F.when(hit, F.lit(retries)).otherwise(F.col("retries")), "error": F.when(hit, F.lit(error)).otherwise(F.col("error"))}))
 
-    def process(self, accept: Callable[[DataFrame], DataFrame] | None = None) -> tuple[int, int]:
-        """Publishes one batch; (published, failed). `accept` may set decode_error on rows that must not go out.
+    def process(self, accept: Callable[[DataFrame], DataFrame] | None = None, whole: bool = False) -> tuple[int, int]:
+        """Publishes one batch, or with `whole` all that is pending; (published, failed). `accept` may set decode_error on rows that must not go out.
 
         Rows that the topics hold already (a processor that stopped between publishing
-        and marking) are only marked.
+        and marking) are only marked. Without pending rows the table stays as it is.
         """
         c = self.config
-        batch = pending(self.table.read(), c.batch_size, c.max_retries).persist()
+        batch = pending(self.table.read(), None if whole else c.batch_size, c.max_retries)
+        # one version of the table, so a whole backlog can be read again rather than kept
+        batch = batch if whole and not accept else batch.persist()
         try:
-            decoded = decode(batch)
+            decoded = decode(batch, "created_at")
             decoded = accept(decoded) if accept else decoded
-            good = decoded.where("decode_error IS NULL")
-            self.topics.publish(good.drop("row_id", "decode_error"))
-            done, failed = good.select(F.col("row_id").alias("event_id")), decoded.where("decode_error IS NOT NULL").select(F.col("row_id").alias("event_id"), F.col("decode_error").alias("error"))
-            self.table.update(lambda t: settle(t, done, failed, self.clock()))
-            return done.count(), failed.count()
+            ok = F.col("decode_error").isNull()
+            n = decoded.agg(F.count_if(ok).alias("done"), F.count_if(~ok).alias("failed")).first()
+            if n["done"] or n["failed"]:
+                good = decoded.where(ok)
+                self.topics.publish(good.drop("row_id", "decode_error"), *(["created_at"] if whole else []))
+                done, failed = good.select(F.col("row_id").alias("event_id")), decoded.where(~ok).select(F.col("row_id").alias("event_id"), F.col("decode_error").alias("error"))
+                self.table.update(lambda t: settle(t, done, failed, self.clock()))
+            return n["done"], n["failed"]
         finally:
             batch.unpersist()
 
     def run(self, stop_when_idle: bool = True, sleep: Callable[[float], None] | None = None) -> int:
-        """Batches until stopped, or until nothing is pending."""
+        """Turns until stopped, or until nothing is pending.
+
+        A turn rewrites the table, so a backlog of more than one batch goes out in one
+        turn, oldest first, and not in as many turns as it has batches.
+        """
         import time
 
         total = 0
         while self.active:
-            done, failed = self.process()
+            c = self.config
+            backlog = pending(self.table.read(), None, c.max_retries).count()
+            done, failed = self.process(whole=backlog > c.batch_size) if backlog else (0, 0)
             total += done
             if not done and not failed:
                 if stop_when_idle:
                     break
-                (sleep or time.sleep)(self.config.poll_ms / 1000)
-            elif failed and self.config.retry_delay_s:
-                (sleep or time.sleep)(self.config.retry_delay_s)
+                (sleep or time.sleep)(c.poll_ms / 1000)
+            elif failed and c.retry_delay_s:
+                (sleep or time.sleep)(c.retry_delay_s)
         return total
 
     def stop(self) -> None:

@@ -598,7 +598,7 @@ def stream_balances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("snk_9_outbox_run", "SELECT event_type AS topic, count(*) AS n FROM events GROUP BY event_type")
 def outbox_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The outbox's batches, one after another, until it is empty."""
+    """An outbox with a backlog of many batches, run until it is empty."""
     from streamcontract.sources.topics import TopicStore
 
     folder = _scratch(spark)

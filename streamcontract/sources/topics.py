@@ -30,8 +30,8 @@ class TopicStore:
         log = self._read(self.log, LOG)
         return log.where(F.col("topic").isin(*topics)) if topics else log
 
-    def publish(self, events: DataFrame) -> int:
-        """Appends envelopes with topic (and key) and gives them offsets; ids that a topic holds already are left out.
+    def publish(self, events: DataFrame, *first_by: str) -> int:
+        """Appends envelopes with topic (and key) and gives them offsets, by time or by the columns first_by before it; ids that a topic holds already are left out.
 
         One publisher at a time: offsets follow the greatest one of the topic.
         """
@@ -44,7 +44,7 @@ class TopicStore:
         log = self.read(*names)
         fresh = events.join(log.select("topic", "event_id"), ["topic", "event_id"], "left_anti")
         ends = log.groupBy("topic").agg((F.max("offset") + 1).alias("__end"))
-        rows = E.with_offsets(fresh).join(ends, "topic", "left").withColumn("offset", F.col("offset") + F.coalesce("__end", F.lit(0)))
+        rows = E.with_offsets(fresh, order=(*first_by, "event_time", "event_id")).join(ends, "topic", "left").withColumn("offset", F.col("offset") + F.coalesce("__end", F.lit(0)))
         columns = [c.strip().split(" ")[0] for c in LOG.replace("map<string,string>", "map").split(",")]
         rows = rows.select(*columns).persist()
         try:

@@ -72,6 +72,21 @@ def test_outbox(spark, tmp_path):
     assert o.process() == (0, 0)
 
 
+def test_outbox_backlog_goes_out_in_one_turn(spark, tmp_path):
+    times = iter([NOW, NOW + dt.timedelta(hours=1), *[NOW + dt.timedelta(hours=2)] * 9])
+    s = TopicStore(spark, str(tmp_path / "topics"))
+    o = O.Outbox(spark, str(tmp_path / "outbox"), s, O.OutboxConfig(batch_size=2), clock=lambda: next(times))
+    o.write(made(spark, 4, first=3))
+    o.write(made(spark, 3))  # earlier events, written later
+    version = o.table.version()
+    assert o.run() == 7
+    assert o.table.version() == version + 1
+    assert [r["event_id"] for r in s.read("t").orderBy("offset").collect()] == [eid(i) for i in (3, 4, 5, 6, 0, 1, 2)]
+    assert o.table.read().where("processed_at IS NULL").count() == 0
+    assert (o.run(), o.process()) == (0, (0, 0))  # nothing to do: nothing is written
+    assert o.table.version() == version + 1
+
+
 def test_consumer_groups(spark, tmp_path):
     s = TopicStore(spark, str(tmp_path))
     s.publish(made(spark, 4))
