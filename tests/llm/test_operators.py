@@ -506,6 +506,28 @@ def test_quality(spark):
     assert quality.quality(made(spark, []), labels).count() == 0
 
 
+def test_keep_and_stored_give_the_drivers_memory_back(spark, monkeypatch):
+    from types import SimpleNamespace as Some
+
+    from streamcontract.llm import common
+
+    heap, collected = [90], []
+    runtime = Some(totalMemory=lambda: heap[0], maxMemory=lambda: 100)
+    jvm = Some(java=Some(lang=Some(Runtime=Some(getRuntime=lambda: runtime), System=Some(gc=lambda: collected.append(1)))))
+    session = Some(sparkContext=Some(_jvm=jvm))
+    monkeypatch.setattr(common, "_tidied", [-100.0])
+    common.tidy(session)
+    common.tidy(session)  # too soon
+    assert len(collected) == 1
+    common._tidied[0], heap[0] = -100.0, 10  # little is committed
+    common.tidy(session)
+    assert len(collected) == 1
+    turns = []
+    monkeypatch.setattr(common, "tidy", turns.append)
+    assert common.keep(spark.range(3)).count() == common.stored(spark.range(3)).count() == 3
+    assert len(turns) == 2
+
+
 def test_quality_learns_from_all_trusted_rows(spark, monkeypatch):
     n, counts, seen = 25_000, quality.ngram_counts, []
     docs = spark.range(n + 500).selectExpr("id doc_id", "concat('plain words ', id % 97) text", "'en' lang")
