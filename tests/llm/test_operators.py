@@ -528,6 +528,20 @@ def test_keep_and_stored_give_the_drivers_memory_back(spark, monkeypatch):
     assert len(turns) == 2
 
 
+def test_quality_model_reads_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rng = random.Random(4)
+    docs = made(spark, [(i, sentence(rng, 12)) for i in range(40)])
+    assert quality.kneser_ney(quality.ngram_counts(docs.mapInArrow(through, docs.schema))) is not None
+    assert read.value == 40
+
+
 def test_quality_learns_from_all_trusted_rows(spark, monkeypatch):
     n, counts, seen = 25_000, quality.ngram_counts, []
     docs = spark.range(n + 500).selectExpr("id doc_id", "concat('plain words ', id % 97) text", "'en' lang")
