@@ -44,10 +44,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamcontract.llm.common import mix, prepare, stored, table
+from streamcontract.llm.common import mix, prepare, runs, stored, table
 
 CHUNK, FAN = 1 << 15, 64
-RUN_CHARS = 1 << 20
+RUN_CHARS = 1 << 18
 NEVER = -1e30
 STEP = 32  # scores by rank are multiples of 1 / STEP
 BPE, UNIGRAM = 2, 1
@@ -504,6 +504,17 @@ def downwards(level: DataFrame, ends: DataFrame) -> DataFrame:
     return level.withColumn("up", F.floor(F.col("k") / FAN).cast("int")).join(up, ["key", "up"]).groupBy("key", "up").applyInArrow(split, "key string, k int, before int, after int")
 
 
+def trace(u: Unigram, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, k, ids of chunks (key, k, m, part, before, after), about RUN_CHARS characters at a time however many a batch holds."""
+    for b in batches:
+        m, before, after = (b.column(i).to_numpy() for i in (2, 4, 5))
+        for lo, hi in runs(np.concatenate([[0], np.cumsum(m)]), RUN_CHARS):
+            at = slice(lo, hi)
+            parts = b.column(3).slice(lo, hi - lo).to_pylist()
+            ids, sizes, _ = u.encode(*points([p[i : k + j] for k, p, i, j in zip(m[at].tolist(), parts, before[at].tolist(), after[at].tolist(), strict=True)]))
+            yield pa.record_batch([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))], ["key", "k", "ids"])
+
+
 def _long(rows: DataFrame, proto: object, chunk: int) -> DataFrame:
     """Texts of several chunks, by the scan."""
     rows = rows.withColumn("key", F.sha2("text", 256))
@@ -516,13 +527,6 @@ def _long(rows: DataFrame, proto: object, chunk: int) -> DataFrame:
     for level in levels[-2::-1]:
         states = downwards(level, states)
 
-    def trace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = _model(proto.value)
-        for b in batches:
-            m, before, after = (b.column(i).to_numpy() for i in (2, 4, 5))
-            ids, sizes, _ = u.encode(*points([p[lo : k + hi] for k, p, lo, hi in zip(m.tolist(), b.column(3).to_pylist(), before.tolist(), after.tolist(), strict=True)]))
-            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))], ["key", "k", "ids"])
-
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = _model(proto.value)
         for b in batches:
@@ -534,7 +538,7 @@ def _long(rows: DataFrame, proto: object, chunk: int) -> DataFrame:
                 back = u.decode(ids, sizes)
                 yield pa.record_batch([pa.array([key.as_py()]), *_encoded(ids, sizes, back, [hashlib.sha256(back[0]).hexdigest() == key.as_py()])], ["key", *NAMES])
 
-    traced = parts.select("key", "k", "m", "part").join(states, ["key", "k"]).select("key", "k", "m", "part", "before", "after").mapInArrow(trace, "key string, k int, ids array<int>")
+    traced = parts.select("key", "k", "m", "part").join(states, ["key", "k"]).select("key", "k", "m", "part", "before", "after").mapInArrow(lambda batches: trace(_model(proto.value), batches), "key string, k int, ids array<int>")
     # one text's pieces meet: no more than a row of the result holds
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return rows.select("doc_id", "key").join(whole.mapInArrow(decode, f"key string, {ENCODED}"), "key").select("doc_id", *NAMES)

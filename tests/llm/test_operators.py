@@ -771,6 +771,30 @@ def test_pieces(spark):
     assert pieces.pieces(made(spark, []), pieces.public_model()).count() == 0
 
 
+def test_trace_of_a_batch_of_many_chunks():
+    """Memory follows RUN_CHARS, not the rows of a batch; each chunk's ids are those of the chunk alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    u = pieces.Unigram(pieces.unigram_proto(pieces.public_model()))
+    rng = random.Random(31)
+    parts = [("".join(rng.choice("abcdefghijklmnop ") for _ in range(pieces.CHUNK))).replace(" ", "▁") for _ in range(64)]
+    n = len(parts)
+    b = pa.record_batch([pa.array(["t"] * n), pa.array(range(n), pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array(parts), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32())], ["key", "k", "m", "part", "before", "after"])
+    list(pieces.trace(u, [b.slice(0, 1)]))
+    tracemalloc.start()
+    out = list(pieces.trace(u, iter([b])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    got = [r for x in out for r in x.to_pylist()]
+    assert [r["k"] for r in got] == list(range(n))
+    for i in (0, 7, 8, n - 1):
+        assert got[i]["ids"] == u.encode(*pieces.points([parts[i]]))[0].tolist()
+    assert list(pieces.trace(u, [b.slice(0, 0)])) == []
+
+
 def test_pieces_of_a_table(spark):
     """All documents, long ones by the scan: the library's ids."""
     sp = library(pieces.public_model())
