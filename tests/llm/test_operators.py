@@ -528,6 +528,18 @@ def test_keep_and_stored_give_the_drivers_memory_back(spark, monkeypatch):
     assert len(turns) == 2
 
 
+def test_tidy_lets_the_drivers_heap_shrink(spark, monkeypatch):
+    from streamcontract.llm import common
+
+    jvm = spark.sparkContext._jvm
+    kind = jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+    options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(kind)
+    monkeypatch.setattr(common, "COMMITTED", 0.0)
+    monkeypatch.setattr(common, "_tidied", [-100.0])
+    common.tidy(spark)
+    assert {name: int(options.getVMOption(name).getValue()) for name in ("MinHeapFreeRatio", "MaxHeapFreeRatio")} == {"MinHeapFreeRatio": 20, "MaxHeapFreeRatio": 40}
+
+
 def test_quality_model_reads_the_texts_once(spark):
     read = spark.sparkContext.accumulator(0)
 
