@@ -58,7 +58,7 @@ def ranked_sources(histogram: DataFrame) -> DataFrame:
     counts = sorted((r["part"], r["count"]) for r in by.groupBy("part").count().collect())  # one row a partition
     before = dict(zip([p for p, _ in counts], np.cumsum([0, *(c for _, c in counts)])[:-1].tolist(), strict=True))
     spark = histogram.sparkSession
-    offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
+    offsets = spark.createDataFrame(pa.table({"part": pa.array(before.keys(), pa.int32()), "before": pa.array(before.values(), pa.int64())}))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("last", "source")) - 1 + F.col("before")
     weights = F.array(*(F.lit(w) for w in WEIGHTS))
     return by.join(F.broadcast(offsets), "part").select("source", "last", "total", F.element_at(weights, (rank % len(WEIGHTS) + 1).cast("int")).alias("weight"))

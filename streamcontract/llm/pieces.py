@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamcontract.llm.common import mix, prepare, runs, stored, table
+from streamcontract.llm.common import mix, once, prepare, runs, stored, table
 
 CHUNK, FAN = 1 << 15, 64
 RUN_CHARS = 1 << 18
@@ -403,15 +403,6 @@ def _hashes(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- on tables
 
-_loaded: dict[bytes, Unigram] = {}
-
-
-def _model(proto: bytes) -> Unigram:
-    if (key := hashlib.md5(proto).digest()) not in _loaded:
-        _loaded[key] = Unigram(proto)
-    return _loaded[key]
-
-
 ENCODED = "n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean, ids array<int>"
 NAMES = [x.split(" ")[0] for x in ENCODED.split(", ")]
 
@@ -426,7 +417,7 @@ def _short(rows: DataFrame, proto: object) -> DataFrame:
     """Texts of one chunk."""
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = _model(proto.value)
+        u = once(proto, Unigram)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             size = np.cumsum([len(t) for t in texts])
@@ -444,7 +435,7 @@ def chunks(rows: DataFrame, proto: object, chunk: int) -> DataFrame:
     """key, k, n, m, part: the chunks of each different text (key: its SHA-256): m characters and those that pieces can reach over."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = _model(proto.value)
+        u = once(proto, Unigram)
         for b in batches:
             for key, text in zip(b.column(0), b.column(1), strict=True):
                 t = u.sp.normalize(text.as_py())
@@ -461,7 +452,7 @@ def transfers(parts: DataFrame, proto: object) -> DataFrame:
     """key, k, matrix of each chunk."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = _model(proto.value)
+        u = once(proto, Unigram)
         for b in batches:
             found = [u.transfer(points([p])[0], m).tobytes() for m, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "k", "matrix"])
@@ -528,7 +519,7 @@ def _long(rows: DataFrame, proto: object, chunk: int) -> DataFrame:
         states = downwards(level, states)
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = _model(proto.value)
+        u = once(proto, Unigram)
         for b in batches:
             for key, x in zip(b.column(0), b.column(1), strict=True):
                 ids = x.values.to_numpy()
@@ -538,7 +529,7 @@ def _long(rows: DataFrame, proto: object, chunk: int) -> DataFrame:
                 back = u.decode(ids, sizes)
                 yield pa.record_batch([pa.array([key.as_py()]), *_encoded(ids, sizes, back, [hashlib.sha256(back[0]).hexdigest() == key.as_py()])], ["key", *NAMES])
 
-    traced = parts.select("key", "k", "m", "part").join(states, ["key", "k"]).select("key", "k", "m", "part", "before", "after").mapInArrow(lambda batches: trace(_model(proto.value), batches), "key string, k int, ids array<int>")
+    traced = parts.select("key", "k", "m", "part").join(states, ["key", "k"]).select("key", "k", "m", "part", "before", "after").mapInArrow(lambda batches: trace(once(proto, Unigram), batches), "key string, k int, ids array<int>")
     # one text's pieces meet: no more than a row of the result holds
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return rows.select("doc_id", "key").join(whole.mapInArrow(decode, f"key string, {ENCODED}"), "key").select("doc_id", *NAMES)

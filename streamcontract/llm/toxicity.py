@@ -265,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", may_learn
         del found
         pa.default_memory_pool().release_unused()
     # at most 2 * per_class ids
-    seen = spark.createDataFrame([(int(x),) for x in names[trained]], "doc_id long")
+    seen = spark.createDataFrame(pa.table({"doc_id": names[trained]}))
     # all rows are scored and only their scores meet the labels: no text is shuffled
     scored = toxicity(docs, model).select("doc_id", "lang", "score")
     model.thresholds = thresholds(scored.join(F.broadcast(seen), "doc_id", "left_anti").join(known, "doc_id").select("lang", "label", "score"), least)

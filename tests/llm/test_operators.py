@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,6 +541,76 @@ def test_tidy_lets_the_drivers_heap_shrink(spark, monkeypatch):
     assert {name: int(options.getVMOption(name).getValue()) for name in ("MinHeapFreeRatio", "MaxHeapFreeRatio")} == {"MinHeapFreeRatio": 20, "MaxHeapFreeRatio": 40}
 
 
+def test_tidy_executors(spark, monkeypatch):
+    from types import SimpleNamespace as Some
+
+    from streamcontract.llm import common
+
+    ran = []
+
+    def session(executors):
+        status = Some(size=lambda: executors + 1)
+        frame = Some(select=lambda *columns: Some(collect=lambda: ran.append("gc" in str(columns))))
+        return Some(sparkContext=Some(_jsc=Some(sc=lambda: Some(getExecutorMemoryStatus=lambda: status))), range=lambda lo, hi, step, parts: ran.append((hi, parts)) or frame)
+
+    monkeypatch.setattr(common, "_rested", [-100.0])
+    common.tidy_executors(session(3))
+    common.tidy_executors(session(3))  # too soon
+    assert ran == [(3, 3), True]
+    common._rested[0] = -100.0
+    common.tidy_executors(session(0))  # the driver does all
+    assert len(ran) == 2
+    assert spark.range(0, 2, 1, 2).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).count() == 2
+    turns = []
+    monkeypatch.setattr(common, "tidy_executors", turns.append)
+    assert common.keep(spark.range(3)).count() == common.stored(spark.range(3)).count() == 3
+    assert len(turns) == 2
+
+
+def test_workers_drop_a_models_tables_with_its_broadcast(spark):
+    """Tables that workers made of the models of quality and pieces are gone in tasks that do not use them."""
+    docs = made(spark, [(i, "plain words of a text") for i in range(40)]).repartition(4)
+    model = quality.kneser_ney(quality.ngram_counts(docs))
+
+    def held(batches):
+        from streamcontract.llm import common, pieces, quality
+
+        for b in batches:
+            n = len(getattr(quality, "_dense", ())) + len(getattr(pieces, "_loaded", ())) + len(getattr(common, "_made", ()))
+            yield pa.record_batch([pa.array([n] * b.num_rows, pa.int64())], ["n"])
+
+    for out in (quality.perplexities(docs, model), pieces.pieces(docs, pieces.public_model())):
+        assert out.count() == 40
+        assert out.collect()
+        spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()  # the workers learn what is no longer used
+        assert spark.range(0, 16, 1, 16).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+
+def test_dense_table_has_nothing_of_its_size_beside_it():
+    import tracemalloc
+
+    model = quality.Model(np.array([5]), np.array([-1.0], np.float32), np.arange(64**3, dtype=np.float32), np.arange(64**3, dtype=np.float32) / 7)
+    tracemalloc.start()
+    try:
+        out = model.dense()
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * out.nbytes
+    finally:
+        tracemalloc.stop()
+    g = np.array([0, 5, 64, 64**3 + 70, 64**4 - 1])
+    want = np.where(g == 5, -1.0, model.backoff[g // 64] + model.lower[g % 64**3])
+    np.testing.assert_allclose(out[g], want, rtol=1e-6)
+
+
+def test_small_tables_need_no_python_worker(spark, monkeypatch):
+    """A list given to createDataFrame passes through workers of their own, which stay; an Arrow table does not."""
+    given, create = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: given.append(type(data)) or create(self, data, *a, **b))
+    docs, labels = spark.range(60).selectExpr("id doc_id", "IF(id % 2 = 0, 'a bad word', 'fine words') text", "'en' lang", "'s' source"), spark.range(60).selectExpr("id doc_id", "CAST(id % 2 = 0 AS INT) toxic")
+    assert toxicity.learn(docs, labels) is not None
+    assert mixing.mix(docs).count() == 60
+    assert given and set(given) <= {pa.Table}, given
+
+
 def test_quality_model_reads_the_texts_once(spark):
     read = spark.sparkContext.accumulator(0)
 
