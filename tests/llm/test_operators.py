@@ -625,6 +625,15 @@ def test_quality_model_reads_the_texts_once(spark):
     assert read.value == 40
 
 
+def test_kneser_ney_stores_bounded_tables_in_few_files(spark, monkeypatch):
+    parts, keep = [], quality.keep
+    monkeypatch.setattr(quality, "keep", lambda df: parts.append((out := keep(df)).rdd.getNumPartitions()) or out)
+    monkeypatch.setattr(quality, "FEW", 2, raising=False)
+    rng = random.Random(5)
+    assert quality.kneser_ney(quality.ngram_counts(made(spark, [(i, sentence(rng, 20)) for i in range(30)])).repartition(4, "g")) is not None
+    assert len(parts) == 7 and parts[0] == 4 and max(parts[1:]) <= 2, parts
+
+
 def test_quality_learns_from_all_trusted_rows(spark, monkeypatch):
     n, counts, seen = 25_000, quality.ngram_counts, []
     docs = spark.range(n + 500).selectExpr("id doc_id", "concat('plain words ', id % 97) text", "'en' lang")
