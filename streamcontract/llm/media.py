@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from streamcontract.llm.common import prepare, table
 
 SIDE, UNIT, RATE = 24, 576, 25
+#: Bytes of the payload's end that op8_media gives the checksum of, by its contract.
+TAIL_BYTES = 32
 #: The order in which JPEG stores the 64 coefficients of a block.
 ZIGZAG = np.array([y * 8 + x for s in range(15) for y, x in (((i, s - i) if s % 2 else (s - i, i)) for i in range(s + 1)) if y < 8 and x < 8])
 
@@ -395,8 +397,10 @@ def clips(media: DataFrame) -> DataFrame:
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(cut, "doc_id long, shot int, first_frame long, n_frames long, start_s double, end_s double, histogram array<double>")
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Stores every text as a file, reads it back and tells what came: one narrow pass."""
+def digest(docs: DataFrame, tail: int = UNIT) -> DataFrame:
+    """Stores every text as a file, reads it back and tells what came: one narrow pass. tail_crc32 is of the last `tail` bytes read back."""
+    if tail < 1:
+        raise ValueError("a tail has at least one byte")
     prepare(docs.sparkSession)
 
     def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,7 +412,7 @@ def digest(docs: DataFrame) -> DataFrame:
                 h = histograms(data)
                 first = shots(h)
                 feature = f"frames={len(h)};shots={len(first)};luma={','.join(f'{x:.4f}' for x in h.mean(0))}"
-                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-tail:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -417,4 +421,4 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(table(spark, sf_dir, "documents"))
+    return digest(table(spark, sf_dir, "documents"), tail=TAIL_BYTES)

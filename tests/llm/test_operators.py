@@ -797,6 +797,22 @@ def test_media(spark):
     assert media.digest(made(spark, [])).count() == 0
 
 
+def test_media_query(spark, tmp_path):
+    """The query's exact columns by its contract: the checksum is of the last 32 bytes of the payload."""
+    texts = [*odd_texts(), "\x00" * 576, "é" * 288, *("x" * n + "y" for n in (30, 31, 32, 543, 544, 575, 576, 1151))]
+    rows = [*enumerate(texts), (None, "no id"), (None, None), (3, "another text of id 3")]
+    made(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[len(payload) - 32 :])))
+    got = media.op8_media(spark, str(tmp_path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    with pytest.raises(ValueError):
+        media.digest(made(spark, []), tail=0)
+
+
 def test_general_jpeg_decoder():
     rng = np.random.default_rng(6)
     payload = rng.integers(0, 256, 1152, dtype=np.uint8).tobytes()
